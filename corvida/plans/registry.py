@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import entity_queries
+
+MODULES = (entity_queries,)
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in MODULES for k, v in m.SQL.items()}
