@@ -23,6 +23,7 @@ FORM = re.compile(r"^\s*[^\W\d_][^:\n]{0,40}:\s*(?:[_.\s█■▇x-]*|\[[\s_x.]*
 BLANK_VALUE = re.compile(r":\s*(?:[_.\s█■▇-]*|x{1,6}|\[[\s_x.]*\]|n/?a\.?)\s*$", re.I)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 SENTENCE_END = re.compile(r"[.!?][\"'”’)\]]*\s*$")
+_DIGIT, _GAP = re.compile(r"\d"), re.compile(r"\S {2,}(?=\S)")
 _VOWEL = re.compile(r"[aeiouyáéíóúàèìòùâêîôûäëïöüåæøœãõ]", re.I)
 _REDACTION = re.compile(r"█+|\[[^\]\n]{0,14}\]|\((?:REDACTED|b\)\(\d.?\)|_+)|\bX{4,}\b|_{4,}|\*{4,}|\(b\)\(\d\)(?:\([A-Z]\))?", re.I)
 
@@ -44,6 +45,9 @@ def line_kind(line: str) -> int:
     raw = line.strip()
     if not raw:
         return NEUTRAL
+    some = raw.lower().split()
+    if len(some) >= 5 and "|" not in raw and "\t" not in raw and len([w for w in some if w in FUNCTION_WORDS]) >= max(2, 0.2 * len(some)):
+        return PROSE
     if BLANK_VALUE.search(raw) and FORM.match(raw):
         return FORM_LINE
     if not text:
@@ -51,26 +55,29 @@ def line_kind(line: str) -> int:
     body = MARGIN_NUMBER.sub("", line)
     body = _REDACTION.sub(" ", body)
     words = WORD.findall(body)
-    visible = sum(1 for c in text if not c.isspace())
+    parts = text.split()
+    visible = sum(map(len, parts))
     letters = sum(map(len, words))
-    frequent = sum(1 for w in words if w.lower() in FUNCTION_WORDS)
-    if visible > 3 and (letters < 0.35 * visible and not any(c.isdigit() for c in text)):
+    frequent = len([w for w in words if w.lower() in FUNCTION_WORDS])
+    if visible > 3 and letters < 0.35 * visible and not _DIGIT.search(text):
         return GARBAGE
-    if any(len(t) > 34 for t in text.split()) and not text.startswith(("http", "www", "<", "mailto")) and "@" not in text and "://" not in text:
+    if max(map(len, parts)) > 34 and not text.startswith(("http", "www", "<", "mailto")) and "@" not in text and "://" not in text:
         return GARBAGE
     if len(words) >= 3 and not readable(words):
         return GARBAGE
-    fields = max(body.strip().count("|"), body.strip().count("\t"), body.count("; ") if frequent == 0 else 0, len(re.findall(r"\S {2,}\S", body.strip())))
-    odd = sum(1 for c in text if ord(c) > 0xA0 and not c.isalpha() and c not in "“”‘’«»–—…•·°§½¼¾€£☎🙂")
-    strange = sum(1 for w in words if any(ord(c) > 0xBF for c in w)) if not text.isascii() else 0
-    if len(words) >= 3 and frequent <= 0.15 * len(words) and (odd > 0.05 * visible or strange > 0.6 * len(words)):
-        return GARBAGE
+    if len(words) >= 3 and frequent <= 0.15 * len(words) and not text.isascii():
+        odd = sum(1 for c in text if ord(c) > 0xA0 and not c.isalpha() and c not in "“”‘’«»–—…•·°§½¼¾€£☎🙂")
+        strange = sum(1 for w in words if any(ord(c) > 0xBF for c in w))
+        if odd > 0.05 * visible or strange > 0.6 * len(words):
+            return GARBAGE
+    body = body.strip()
+    fields = max(body.count("|"), body.count("\t"), body.count("; ") if frequent == 0 else 0, len(_GAP.findall(body)) if "  " in body else 0)
     if fields >= 2 and frequent <= 0.15 * len(words):
         return ROW
     if fields >= 1 and frequent == 0 and ("|" in body or "\t" in body):
         return ROW
     if letters < 0.5 * visible and frequent == 0:
-        return ROW if any(c.isdigit() for c in text) and visible > 8 else NEUTRAL
+        return ROW if _DIGIT.search(text) and visible > 8 else NEUTRAL
     if frequent >= 1 and (frequent >= 0.12 * len(words) or SENTENCE_END.search(text)):
         return PROSE
     if MAIL_HEADER.match(raw):
@@ -90,7 +97,7 @@ def line_kinds(text: str) -> list[tuple[int, int]]:
     """
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
     kinds = [line_kind(x) for x in lines]
-    sizes = [sum(1 for c in x if not c.isspace()) for x in lines]
+    sizes = [sum(map(len, x.split())) for x in lines]
     out = list(kinds)
     for i, k in enumerate(kinds):
         if k != NEUTRAL or not sizes[i]:
@@ -106,12 +113,26 @@ def line_kinds(text: str) -> list[tuple[int, int]]:
     return list(zip(out, sizes, strict=True))
 
 
-#: A line that may be an entry, row or form, found in the text as a whole.
-_SUSPECT = re.compile(
-    r"^(?:[ \t]*(?:[-*•·–—▪◦‣○●]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|\[[ xX]?\])[ \t]+[^\n]*|[^\n]*[|\t][^\n]*|[^\n]*;[^\n]*;[^\n]*"
-    r"|[^\n:]{1,40}:[ \t]*[^\n]{0,40}|[^\n]*\S {2,}\S[^\n]*)$",
-    re.M,
-)
+_BULLETED = re.compile(r"^[ \t]*(?:[-*•·–—▪◦‣○●]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|\[[ xX]?\])[ \t]", re.M)
+_LABELLED = re.compile(r"^[^\n:.,]{1,40}:(?!//)", re.M)
+
+
+def _suspects(text: str) -> set[tuple[int, int]]:
+    """Bounds of the lines that may be entries, rows or forms, found in the text as a whole."""
+    at = [m.start() for rule in (_BULLETED, _LABELLED) for m in rule.finditer(text)]
+    for mark in ("|", "\t", "; ", "  "):
+        i = text.find(mark)
+        while i >= 0:
+            at.append(i)
+            i = text.find("\n", i)
+            i = text.find(mark, i) if i >= 0 else -1
+    out = set()
+    for i in at:
+        end = text.find("\n", i)
+        out.add((text.rfind("\n", 0, i) + 1, len(text) if end < 0 else end))
+    return out
+
+
 #: Texts with at least this share of function words can't be half garbage; only suspect lines are looked at.
 MANY_FUNCTION_WORDS = 0.25
 
@@ -127,8 +148,8 @@ def structured_share(text: str, function_share: float) -> float:
             other += size * (kind == NEUTRAL)
         return structured / (structured + prose) if structured + prose else (1.0 if other > 200 and function_share == 0 else 0.0)
     structured = 0
-    for m in _SUSPECT.finditer(text):
-        line = m.group()
+    for start, end in _suspects(text):
+        line = text[start:end]
         if line_kind(line) > PROSE:
             structured += len(line) - line.count(" ")
     visible = len(text) - text.count(" ") - text.count("\n")

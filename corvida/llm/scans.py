@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .lines import FUNCTION_WORDS
-from .words import Words, chunks
+from .words import Words, _class_of, _mapped, chunks
 
 MIN_LETTERS = 4
 #: A form is supported if it makes up this share of all words (so there are at most 1 / share forms) and occurs so often.
@@ -48,7 +48,6 @@ _STAMP = re.compile(r"^[ \t]*[A-Z0-9@|]{2,6}(?:[-_ ][A-Z0-9@|]{1,5})?[-_ ]?\d{4,
 _MARGIN = re.compile(r"^[ \t]{0,4}(\d{1,3})(?:[ \t]{2,}|[ \t]*$)", re.M)
 _CAPITALS = re.compile(r"[A-ZÀ-Þ0-9@|]{5,}")
 _DIGITS = str.maketrans({str(d): "#" for d in range(10)})
-_TOKEN = re.compile(r"[^\s]+")
 
 
 def skeleton(word: str) -> str:
@@ -64,7 +63,7 @@ def unified(text: str) -> str:
 def _line_key(line: str) -> str:
     """A line's digits masked, its words as skeletons: equal for a header on every page."""
     return " ".join(
-        t.translate(_DIGITS) if sum(c.isdigit() for c in t) * 2 > len(t) else skeleton(t) for t in _TOKEN.findall(line)
+        skeleton(t) if t.isalpha() or sum(c.isdigit() for c in t) * 2 <= len(t) else t.translate(_DIGITS) for t in line.split()
     )
 
 
@@ -122,8 +121,10 @@ def broken_words(text: str, compounds: frozenset[str] = frozenset(), skip: set[i
     lines = text.split("\n")
     out = []
     for i, line in enumerate(lines[:-1]):
+        if line.rstrip()[-1:] not in _HYPHENS or not line or (skip and i in skip):
+            continue
         m = _HEAD.search(line)
-        if not m or (skip and i in skip):
+        if not m:
             continue
         j = i + 1
         while j < len(lines) and (not lines[j].strip() or (skip and j in skip)):
@@ -160,8 +161,7 @@ class Vocabulary:
         if word not in self.kept:
             if len(self.kept) > 300_000:
                 self.kept.clear()
-            letters = sum(c.isalpha() for c in word)
-            best = self.right.get(skeleton(word)) if letters >= 2 and len(word) >= MIN_LETTERS - 1 else None
+            best = self.right.get(skeleton(word)) if sum(c.isalpha() for c in word) >= 2 else None
             self.kept[word] = best if best and best != word else None
         return self.kept[word]
 
@@ -208,7 +208,8 @@ def _noise(batches: Iterator[pa.RecordBatch], counts: dict[str, int], total: int
             place = np.searchsorted(known.supported, words.hashes)
             place[place == len(known.supported)] = 0
             seen = known.supported[place] == words.hashes if len(known.supported) else np.zeros(len(words.hashes), bool)
-            unknown = np.flatnonzero(~seen & (words.ends - words.starts >= MIN_LETTERS - 1))
+            letters = np.concatenate(([0], np.cumsum(_mapped(words.codes, "class", _class_of) == 1)))
+            unknown = np.flatnonzero(~seen & (words.ends - words.starts >= MIN_LETTERS) & (letters[words.ends] - letters[words.starts] >= 2))
             for i, text in enumerate(texts):
                 key = ids[start + i]
                 skip = furniture(text)
