@@ -4,9 +4,30 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package's modules, once an application.
+
+    The driver serves the archive itself; nothing is read from a folder of the cluster.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="corvida-modules-")) / "corvida.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def local_session(app: str = "corvida", cores: int | None = None, partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -27,6 +48,7 @@ def local_session(app: str = "corvida", cores: int | None = None, partitions: in
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data directory, in full."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
