@@ -79,14 +79,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Every document with its group of near duplicates (its smallest doc_id) and its links to other texts."""
     docs = table(spark, d, "documents")
-    links, members = near_duplicates.near_duplicate_links(docs)
-    groups = connected_components(links.select(F.col("rep_a").alias("src"), F.col("rep_b").alias("dst")))
-    both = links.select(F.col("rep_a").alias("rep")).union(links.select(F.col("rep_b").alias("rep")))
-    degree = both.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
-    known = members.join(groups.withColumnRenamed("id", "rep"), "rep", "left").join(degree, "rep", "left")
-    placed = known.select("doc_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-    rest = docs.select("doc_id").join(placed.select("doc_id"), "doc_id", "left_anti")
-    return placed.unionByName(rest.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("links")))
+    links, copies = near_duplicates.near_duplicate_links(docs)
+    groups = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("id", "rep")
+    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    known = docs.select("doc_id").join(copies, "doc_id", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    placed = known.join(groups, "rep", "left").join(degree, "rep", "left")
+    return placed.select("doc_id", F.coalesce("component", "rep").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:
