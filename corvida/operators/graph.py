@@ -43,3 +43,316 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
         return labelled
     rest = nodes.select("id").filter("id IS NOT NULL").dropDuplicates().join(labelled.select("id"), "id", "left_anti")
     return labelled.union(rest.select("id", F.col("id").alias("component")))
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight) with every undirected edge in both directions."""
+    one = edges.select("src", "dst", "weight")
+    return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """(id, degree, weighted_degree)."""
+    return both_ways(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("weighted_degree"))
+
+
+def density(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, total_weight, density; 0 with fewer than two nodes."""
+    n = both_ways(edges).agg(F.countDistinct("src").alias("nodes")).withColumn("k", F.lit(1))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).alias("total_weight")).withColumn("k", F.lit(1))
+    value = F.when(F.col("nodes") > 1, 2.0 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
+    return n.join(m, "k").select("nodes", "edges", "total_weight", F.round(value, 6).alias("density"))
+
+
+def restricted(edges: DataFrame, nodes: DataFrame, key: str = "id") -> DataFrame:
+    """The edges of which both ends are known nodes."""
+    ids = nodes.select(F.col(key).alias("known")).distinct()
+    first = edges.join(ids, edges.src == ids.known, "left_semi")
+    return first.join(ids, first.dst == ids.known, "left_semi")
+
+
+def without_isolated(nodes: DataFrame, edges: DataFrame, key: str = "id") -> DataFrame:
+    """The nodes that stand at some edge."""
+    ends = edges.select(F.col("src").alias(key)).union(edges.select(F.col("dst").alias(key))).distinct()
+    return nodes.join(ends, key, "left_semi")
+
+
+def top_subgraph(edges: DataFrame, k: int = 100) -> DataFrame:
+    """The edges among the k nodes of highest degree."""
+    best = degrees(edges).orderBy(F.desc("degree"), "id").limit(k)
+    return restricted(edges, best)
+
+
+def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
+    """(id, pagerank) over weighted undirected edges; ranks sum to 1.
+
+    Each round is one join on the source and one sum on the target. Every fifth
+    round is written to the checkpoint folder, where the change is tested: the rounds end when the sum of changes is
+    under the number of nodes times tolerance, or after `rounds`.
+    """
+    arcs = both_ways(edges)
+    out = arcs.groupBy("src").agg(F.sum("weight").alias("total"))
+    shares = cut_lineage(arcs.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
+    nodes = cut_lineage(out.select(F.col("src").alias("id")))
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("pagerank", F.lit(0.0))
+    ranks = nodes.withColumn("pagerank", F.lit(1.0 / n))
+    last = ranks
+    for i in range(1, rounds + 1):
+        sent = shares.join(ranks, shares.src == ranks.id).groupBy("dst").agg(F.sum(F.col("share") * F.col("pagerank")).alias("got"))
+        ranks = sent.select(F.col("dst").alias("id"), (F.lit((1 - damping) / n) + damping * F.col("got")).alias("pagerank"))
+        if i % 5 == 0:
+            ranks = cut_lineage(ranks)
+            if tolerance is not None:
+                change = ranks.join(last.withColumnRenamed("pagerank", "old"), "id").agg(F.sum(F.abs(F.col("pagerank") - F.col("old")))).first()[0]
+                if change < n * tolerance:
+                    break
+            last = ranks
+    return ranks
+
+
+def eigenvector(edges: DataFrame, rounds: int = 500, tolerance: float = 1e-6) -> DataFrame:
+    """(id, eigenvector) by power iteration on the weighted adjacency plus identity, of unit length.
+
+    If the rounds don't settle, degree over the largest degree takes its place.
+    """
+    arcs = cut_lineage(both_ways(edges).select("src", "dst", F.col("weight").cast("double").alias("weight")))
+    nodes = cut_lineage(arcs.select(F.col("src").alias("id")).distinct())
+    n = nodes.count()
+    if not n:
+        return nodes.withColumn("eigenvector", F.lit(0.0))
+    x = nodes.withColumn("x", F.lit(1.0 / n**0.5))
+    done = 0
+    while done < rounds:
+        old = x
+        for _ in range(4):
+            got = arcs.join(x, arcs.src == x.id).select(F.col("dst").alias("id"), (F.col("weight") * F.col("x")).alias("y"))
+            x = got.union(x.select("id", F.col("x").alias("y"))).groupBy("id").agg(F.sum("y").alias("x"))
+        x = cut_lineage(x)
+        length = x.agg(F.sqrt(F.sum(F.col("x") * F.col("x")))).first()[0]
+        x = cut_lineage(x.select("id", (F.col("x") / length).alias("x")))
+        done += 4
+        change = x.join(old.withColumnRenamed("x", "o"), "id").agg(F.sum(F.abs(F.col("x") - F.col("o")))).first()[0]
+        if change < n * tolerance:
+            return x.select("id", F.col("x").alias("eigenvector"))
+    most = degrees(edges).agg(F.max("degree")).first()[0]
+    return degrees(edges).select("id", (F.col("degree") / most).alias("eigenvector"))
+
+
+#: Adjacency that travels with tasks: at most so many edges (about 12 bytes each as arrays).
+LOCAL_EDGES = 5_000_000
+
+
+def _local(edges: DataFrame, limit: int) -> tuple[list, list[dict[int, float]]]:
+    """Node names and adjacency of a graph of checked size."""
+    if edges.limit(limit + 1).count() > limit:
+        raise ValueError(f"graph has more than {limit} edges; raise min weight or take a subgraph")
+    rows = edges.select("src", "dst", F.col("weight").cast("double")).collect()
+    names = sorted({r[0] for r in rows} | {r[1] for r in rows})
+    place = {v: i for i, v in enumerate(names)}
+    near: list[dict[int, float]] = [{} for _ in names]
+    for a, b, w in rows:
+        if a != b:
+            near[place[a]][place[b]] = w
+            near[place[b]][place[a]] = w
+    return names, near
+
+
+def _dependencies(near: list[dict[int, float]], source: int, cost: str) -> dict[int, float]:
+    """Shares of shortest paths from one source that pass each node (Brandes 2001)."""
+    import heapq
+
+    length = {"distance": lambda w: w, "none": lambda w: 1.0, "inverse": lambda w: 1.0 / w}[cost]
+    best, paths, before, order, settled = {source: 0.0}, {source: 1.0}, {source: []}, [], set()
+    queue = [(0.0, source)]
+    while queue:
+        d, v = heapq.heappop(queue)
+        if v in settled:
+            continue
+        settled.add(v)
+        order.append(v)
+        for u, w in near[v].items():
+            step = d + length(w)
+            if u not in best or step < best[u] - 1e-12:
+                best[u], paths[u], before[u] = step, paths[v], [v]
+                heapq.heappush(queue, (step, u))
+            elif u not in settled and abs(step - best[u]) <= 1e-12:
+                paths[u] += paths[v]
+                before[u].append(v)
+    share = dict.fromkeys(order, 0.0)
+    for u in reversed(order):
+        for v in before[u]:
+            share[v] += paths[v] / paths[u] * (1 + share[u])
+    share.pop(source)
+    return share
+
+
+def betweenness(edges: DataFrame, cost: str = "distance", limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, betweenness), normalised, of an undirected graph of at most `limit` edges.
+
+    Sources are spread over tasks; the adjacency, checked for size, goes with them.
+    cost: weight as a path's distance, none, or its inverse.
+    """
+    import pandas as pd
+
+    spark = edges.sparkSession
+    names, near = _local(edges, limit)
+    n = len(names)
+    shared = spark.sparkContext.broadcast(near)
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
+
+    def run(frames):
+        total: dict[int, float] = {}
+        for frame in frames:
+            for s in frame.id:
+                for v, x in _dependencies(shared.value, int(s), cost).items():
+                    total[v] = total.get(v, 0.0) + x
+        yield pd.DataFrame({"node": list(total), "part": list(total.values())}).astype({"node": "int64", "part": "float64"})
+
+    parts = min(max(n, 1), 4 * spark.sparkContext.defaultParallelism)
+    sums = spark.range(n).repartition(parts).mapInPandas(run, "node long, part double").groupBy("node").agg(F.sum("part").alias("s"))
+    kind = edges.schema["src"].dataType.simpleString()
+    labels = spark.createDataFrame(list(enumerate(names)), f"node long, id {kind}")
+    return labels.join(sums, "node", "left").select("id", (F.coalesce("s", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def _louvain(near: list[dict[int, float]], seed: int) -> list[int]:
+    """Communities by repeated local moves and merging (Blondel et al. 2008)."""
+    import random
+
+    member = list(range(len(near)))
+    graph = [dict(x) for x in near]
+    loops = [0.0] * len(graph)
+    rng = random.Random(seed)
+    while True:
+        n = len(graph)
+        strength = [sum(graph[v].values()) + 2 * loops[v] for v in range(n)]
+        twice = sum(strength) or 1.0
+        own, total = list(range(n)), list(strength)
+        moved_any = False
+        while True:
+            moved = False
+            order = list(range(n))
+            rng.shuffle(order)
+            for v in order:
+                links: dict[int, float] = {}
+                for u, w in graph[v].items():
+                    links[own[u]] = links.get(own[u], 0.0) + w
+                here = own[v]
+                total[here] -= strength[v]
+                best, gain = here, links.get(here, 0.0) - total[here] * strength[v] / twice
+                for c, w in sorted(links.items()):
+                    g = w - total[c] * strength[v] / twice
+                    if g > gain + 1e-12:
+                        best, gain = c, g
+                total[best] += strength[v]
+                if best != here:
+                    own[v], moved, moved_any = best, True, True
+            if not moved:
+                break
+        if not moved_any:
+            return member
+        label = {c: i for i, c in enumerate(sorted(set(own)))}
+        member = [label[own[m]] for m in member]
+        merged: list[dict[int, float]] = [{} for _ in label]
+        held = [0.0] * len(label)
+        for v in range(n):
+            c = label[own[v]]
+            held[c] += loops[v]
+            for u, w in graph[v].items():
+                k = label[own[u]]
+                if k == c:
+                    held[c] += w / 2
+                else:
+                    merged[c][k] = merged[c].get(k, 0.0) + w
+        graph, loops = merged, held
+
+
+def communities(edges: DataFrame, seed: int = 42, limit: int = LOCAL_EDGES) -> DataFrame:
+    """(id, community) by modularity; communities are numbered by size, the largest 0.
+
+    The connected components are independent of each other; the graph is checked
+    for size and handled whole.
+    """
+    names, near = _local(edges, limit)
+    found = _louvain(near, seed)
+    groups: dict[int, list] = {}
+    for name, c in zip(names, found, strict=True):
+        groups.setdefault(c, []).append(name)
+    ranked = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+    kind = edges.schema["src"].dataType.simpleString()
+    return edges.sparkSession.createDataFrame([(v, i) for i, g in enumerate(ranked) for v in g], f"id {kind}, community int")
+
+
+def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """One row, modularity: the share of weight within communities less its expectation."""
+    a = members.select(F.col("id").alias("src"), F.col("community").alias("ca"))
+    b = members.select(F.col("id").alias("dst"), F.col("community").alias("cb"))
+    joined = edges.join(a, "src").join(b, "dst")
+    inside = joined.groupBy(F.col("ca").alias("community")).agg(F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"))
+    total = joined.agg(F.sum("weight").alias("m"))
+    strength = degrees(edges).join(members, "id").groupBy("community").agg(F.sum("weighted_degree").alias("d"))
+    parts = strength.join(inside, "community", "left").select(F.coalesce("inside", F.lit(0)).alias("inside"), "d").withColumn("k", F.lit(1))
+    return parts.join(total.withColumn("k", F.lit(1)), "k").agg(
+        F.round(F.sum(F.col("inside") / F.col("m") - (F.col("d") / (2.0 * F.col("m"))) * (F.col("d") / (2.0 * F.col("m")))), 6).alias("modularity")
+    )
+
+
+def community_summary(edges: DataFrame, members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(community, size, internal_edges, density, total_appearances, key_figure); nodes(id, appearances)."""
+    known = members.join(nodes.select("id", "appearances"), "id", "left").withColumn("appearances", F.coalesce("appearances", F.lit(0)))
+    first = F.max(F.struct("appearances", F.col("id"))).alias("top")
+    sizes = known.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.sum("appearances").alias("total_appearances"), first)
+    a = members.select(F.col("id").alias("src"), "community")
+    b = members.select(F.col("id").alias("dst"), F.col("community").alias("other"))
+    inside = edges.join(a, "src").join(b, "dst").filter("community = other").groupBy("community").agg(F.count(F.lit(1)).alias("internal_edges"))
+    n, m = F.col("size"), F.coalesce("internal_edges", F.lit(0))
+    value = F.when(n > 1, 2.0 * m / (n * (n - 1))).otherwise(0.0)
+    return sizes.join(inside, "community", "left").select(
+        "community", "size", m.alias("internal_edges"), F.round(value, 6).alias("density"), "total_appearances", F.col("top.id").alias("key_figure")
+    )
+
+
+def ego_nodes(edges: DataFrame, egos: DataFrame, depth: int = 1) -> DataFrame:
+    """(ego, id, distance): nodes within depth steps of each ego(id)."""
+    arcs = both_ways(edges).select("src", "dst")
+    seen = egos.select(F.col("id").alias("ego"), "id", F.lit(0).alias("distance")).distinct()
+    frontier = seen
+    for step in range(1, depth + 1):
+        new = frontier.join(arcs, frontier.id == arcs.src).select("ego", F.col("dst").alias("id")).distinct()
+        frontier = new.join(seen.select("ego", "id"), ["ego", "id"], "left_anti").withColumn("distance", F.lit(step))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def ego_edges(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """(ego, src, dst, weight): edges of which both ends stand in the ego's network."""
+    a = members.select("ego", F.col("id").alias("src"))
+    b = members.select("ego", F.col("id").alias("dst"))
+    return edges.select("src", "dst", "weight").join(a, "src").join(b, ["ego", "dst"])
+
+
+def ego_statistics(edges: DataFrame, egos: DataFrame, depth: int = 1) -> DataFrame:
+    """(ego, nodes, edges, degree, total_weight, mean_weight, density, clustering) of each ego's network."""
+    members = cut_lineage(ego_nodes(edges, egos, depth))
+    own = cut_lineage(ego_edges(edges, members))
+    size = members.groupBy("ego").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("distance") == 1).alias("degree"))
+    links = own.groupBy("ego").agg(F.count(F.lit(1)).alias("edges"), F.sum("weight").alias("total_weight"), F.round(F.avg("weight"), 6).alias("mean_weight"))
+    near = members.filter("distance = 1").select("ego", "id")
+    a, b = near.withColumnRenamed("id", "src"), near.withColumnRenamed("id", "dst")
+    triangles = own.join(a, ["ego", "src"]).join(b, ["ego", "dst"]).groupBy("ego").agg(F.count(F.lit(1)).alias("triangles"))
+    n, k = F.col("nodes"), F.col("degree")
+    return size.join(links, "ego", "left").join(triangles, "ego", "left").select(
+        "ego", "nodes", F.coalesce("edges", F.lit(0)).alias("edges"), "degree", F.coalesce("total_weight", F.lit(0)).alias("total_weight"), "mean_weight",
+        F.round(F.when(n > 1, 2.0 * F.coalesce("edges", F.lit(0)) / (n * (n - 1))).otherwise(0.0), 6).alias("density"),
+        F.round(F.when(k > 1, 2.0 * F.coalesce("triangles", F.lit(0)) / (k * (k - 1))).otherwise(0.0), 6).alias("clustering"),
+    )
+
+
+def neighbours(edges: DataFrame, k: int = 20) -> DataFrame:
+    """(id, neighbour, weight, place): each node's strongest k neighbours."""
+    from pyspark.sql import Window as W
+
+    place = F.row_number().over(W.partitionBy("src").orderBy(F.desc("weight"), "dst"))
+    return both_ways(edges).withColumn("place", place).filter(F.col("place") <= k).select(F.col("src").alias("id"), F.col("dst").alias("neighbour"), "weight", "place")

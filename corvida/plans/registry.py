@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entity_queries
+from . import entity_queries, text_queries
 
-MODULES = (entity_queries,)
+MODULES = (entity_queries, text_queries)
 
 
 def queries() -> dict:
