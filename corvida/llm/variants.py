@@ -24,8 +24,8 @@ from ..operators.graph import connected_components
 from ..session import cut_lineage
 from .names import TITLES, formal_names
 
-#: Segments are made for so many edits; a swap of two neighbouring letters is two.
-EDITS = 2
+#: Spellings are linked within so many edits; a swap of two neighbouring letters is one.
+EDITS = 1
 #: A token is taken for a given name if it leads at least so many spellings, besides the fixed names.
 LEADING = 50
 #: At most so many learned given names are used; each needs LEADING spellings of its own.
@@ -159,12 +159,20 @@ def _index_rows(batches: Iterator[pa.RecordBatch], k: int, probe: bool) -> Itera
             if not probe:
                 found = {f"{n}:{i}:{text}" for i, _, n, text in segments(name, k) if text}
             else:
-                for n in range(max(1, len(name) - k), len(name) + k + 1):
+                # a name looks for names of its length and up to k shorter ones; the i-th segment
+                # can have moved by i letters from the left and by k - i from the right (Li et al. 2011)
+                for n in range(max(1, len(name) - k), len(name) + 1):
                     gap = len(name) - n
                     for i, at, _, text in segments("x" * n, k):
-                        for start in range(max(0, at - k, at + min(0, gap) - k), min(len(name) - len(text), at + max(0, gap) + k) + 1):
-                            if text:
-                                found.add(f"{n}:{i}:{name[start : start + len(text)]}")
+                        first = max(0, at - i, at + gap - (k - i))
+                        last = min(len(name) - len(text), at + i, at + gap + (k - i))
+                        if text:
+                            found.update(f"{n}:{i}:{name[start : start + len(text)]}" for start in range(first, last + 1))
+                # a swap across a border of segments changes two of them: the name looks with the swap undone, too
+                for _, at, n, _ in segments(name, k)[1:]:
+                    if at:
+                        undone = name[: at - 1] + name[at] + name[at - 1] + name[at + 1 :]
+                        found.update(f"{n}:{i}:{text}" for i, _, _, text in segments(undone, k) if text)
             keys += found
             owners += [name] * len(found)
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(owners, pa.string())], ["key", "surname"])
@@ -182,20 +190,17 @@ def _close(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
 def segment_join(values: DataFrame, k: int = EDITS) -> DataFrame:
     """(a, b, distance) of all pairs a < b of distinct values of column `surname` within k edits.
 
-    Names of up to k letters have empty segments, which make no key; they are
-    compared among themselves by length, of which there are few.
+    For k = 1 swaps of neighbours are found as one edit; for larger k pairs with
+    several swaps can be missed.
+
+    Values of up to k letters have empty segments, which make no key, and can be
+    missed; k is meant to be small against the values.
     """
     distinct = values.select("surname").filter("surname IS NOT NULL AND surname <> ''").dropDuplicates()
     index = distinct.mapInArrow(lambda b: _index_rows(b, k, False), "key string, surname string").withColumnRenamed("surname", "b")
     probes = distinct.mapInArrow(lambda b: _index_rows(b, k, True), "key string, surname string").withColumnRenamed("surname", "a")
-    pairs = probes.join(index, "key").filter("a < b").select("a", "b").dropDuplicates()
-    # The probe of the longer name meets the index of the shorter and the other way round; one order is enough.
-    back = probes.join(index, "key").filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b")).dropDuplicates()
-    return pairs.union(back).dropDuplicates().mapInArrow(lambda b: _close(b, k), "a string, b string, distance int")
-
-
-def _allowed(size: int) -> int:
-    return 1 if size >= 5 else 0
+    pairs = probes.join(index, "key").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.dropDuplicates().mapInArrow(lambda b: _close(b, k), "a string, b string, distance int")
 
 
 def name_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -210,7 +215,7 @@ def name_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
     read = cut_lineage(
         distinct.mapInArrow(lambda b: _read(b, learned), "name string, givens array<string>, initial string, surname string")
     )
-    close = segment_join(read).filter("distance <= 1 AND least(length(a), length(b)) >= 5")
+    close = segment_join(read).filter("least(length(a), length(b)) >= 5")
     surnames = read.select("surname").dropDuplicates()
     family = connected_components(
         close.select(F.col("a").alias("src"), F.col("b").alias("dst")), surnames.select(F.col("surname").alias("id"))
