@@ -80,7 +80,7 @@ def repeated_share(docs: DataFrame, run: int = RUN, min_share: float | None = No
     With min_share, texts that the entropy band shows to lie under it get 0 without
     a comparison of runs. A null or wordless text has no words and a share of 0.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         partial(_shares, run=run, min_share=min_share), "doc_id long, n_words long, n_repeated long"
     )
     share = F.when(F.col("n_words") > 0, F.col("n_repeated") / F.col("n_words")).otherwise(F.lit(0.0))
