@@ -25,7 +25,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def decoded(content: Column) -> Column:
     """Text of bytes, invalid UTF-8 dropped."""
-    return F.replace(content.cast("string"), F.lit("�"), F.lit(""))
+    return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def text_files(spark: SparkSession, base: str, pattern: str = "*.txt", recursive: bool = True) -> DataFrame:
