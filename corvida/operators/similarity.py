@@ -16,19 +16,26 @@ from .graph import connected_components
 def similar_pairs(weights: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_a, doc_b, similarity) of unit rows (doc_id, term, w), by prefix filtering.
 
-    Terms are ordered by document frequency. A pair of unit rows whose product
-    reaches the threshold shares a term in the part of a row before the point from
-    which the rest's length is under the threshold; only such terms meet in the
-    join, and the candidates' whole rows are then multiplied.
+    Terms are ordered by document frequency, frequent ones first. A pair whose
+    product reaches the threshold shares a term in the part of a row before which
+    the row's length is under the threshold; only such terms meet in the join. The
+    join also gives the exact product from the first shared term on, and the lengths
+    before it bound what can be added; candidates within the bound are multiplied
+    in whole.
     """
     from pyspark.sql import Window as W
 
+    weights = cut_lineage(weights.select("doc_id", "term", "df", "w"))  # read four times below
     order = W.partitionBy("doc_id").orderBy(F.desc("df"), "term")
-    # the length of the row's most frequent terms, up to and including this one
-    rest = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-    prefix = weights.withColumn("rest", rest).filter(F.col("rest") >= threshold - 1e-9).select("doc_id", "term")
-    a, b = prefix.withColumnRenamed("doc_id", "doc_a"), prefix.withColumnRenamed("doc_id", "doc_b")
-    candidates = a.join(b, "term").filter("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    square = F.col("w") * F.col("w")
+    upto = F.sum(square).over(order.rowsBetween(W.unboundedPreceding, 0))
+    marked = weights.withColumn("upto", upto).filter(F.sqrt("upto") >= threshold - 1e-9)
+    prefix = marked.select("doc_id", "term", "w", F.sqrt(F.greatest(F.col("upto") - square, F.lit(0.0))).alias("before"))
+    a = prefix.select(F.col("doc_id").alias("doc_a"), "term", F.col("w").alias("wa"), F.col("before").alias("ba"))
+    b = prefix.select(F.col("doc_id").alias("doc_b"), "term", F.col("w").alias("wb"), F.col("before").alias("bb"))
+    met = a.join(b, "term").filter("doc_a < doc_b").groupBy("doc_a", "doc_b")
+    bounded = met.agg((F.sum(F.col("wa") * F.col("wb")) + F.min(F.col("ba") * F.col("bb"))).alias("most"))
+    candidates = bounded.filter(F.col("most") >= threshold - 1e-9).select("doc_a", "doc_b")
     left = weights.select(F.col("doc_id").alias("doc_a"), "term", F.col("w").alias("wa"))
     right = weights.select(F.col("doc_id").alias("doc_b"), "term", F.col("w").alias("wb"))
     product = candidates.join(left, "doc_a").join(right, ["doc_b", "term"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("s"))

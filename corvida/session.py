@@ -46,10 +46,22 @@ def local_session(app: str = "corvida", cores: int | None = None, partitions: in
     )
 
 
+#: Tables whose rows carry texts, so that work on a row outweighs moving it.
+TEXT_TABLES = frozenset({"documents", "all_quotes"})
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables of a data directory, in full."""
+    """One of the tables of a data directory, in full.
+
+    A table of texts that lies in fewer splits than half the cores, as a single
+    small file does, is dealt out to all cores; larger ones stay as they are read.
+    """
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores // 2:
+        rows = rows.repartition(cores)
+    return rows
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
