@@ -186,7 +186,7 @@ def tokens(c: Column, min_length: int = 3, stop_words=None) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Runs of n words of an array, joined by spaces."""
+    """Runs of n words of an array column, joined by spaces; give a column, not an expression that would be computed for each run."""
     at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
 
