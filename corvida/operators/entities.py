@@ -7,6 +7,8 @@ join is bounded by what can pass the thresholds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +32,28 @@ def person_mentions(names: DataFrame) -> DataFrame:
     return named.distinct().select("doc_id", F.lit("person").alias("etype"), F.lit(None).cast("string").alias("subtype"), "entity")
 
 
-def mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """All four kinds: persons from the names table, places, organisations and years from the texts.
+KINDS = ("person", "location", "organization", "year")
+
+
+def mentions(docs: DataFrame, names: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Entities of the given kinds: persons from the names table, places, organisations and years from the texts.
 
     A source that is missing can be given as an empty DataFrame; its kind is then absent.
     """
     none = F.lit(None).cast("string").alias("subtype")
-    places = extract.locations(docs).select("doc_id", F.lit("location").alias("etype"), "subtype", F.col("location").alias("entity"))
-    bodies = extract.organizations(docs).select("doc_id", F.lit("organization").alias("etype"), none, F.col("organization").alias("entity"))
-    found = extract.date_strings(docs).select("doc_id", F.year(extract.parsed_date(F.col("original"))).alias("y"))
-    years = found.filter(F.col("y").between(extract.MIN_YEAR, extract.MAX_YEAR)).distinct()
-    years = years.select("doc_id", F.lit("year").alias("etype"), none, F.col("y").cast("string").alias("entity"))
-    return person_mentions(names).unionByName(places).unionByName(bodies).unionByName(years)
+
+    def years() -> DataFrame:
+        found = extract.date_strings(docs).select("doc_id", F.year(extract.parsed_date(F.col("original"))).alias("y"))
+        kept = found.filter(F.col("y").between(extract.MIN_YEAR, extract.MAX_YEAR)).distinct()
+        return kept.select("doc_id", F.lit("year").alias("etype"), none, F.col("y").cast("string").alias("entity"))
+
+    made = {
+        "person": lambda: person_mentions(names),
+        "location": lambda: extract.locations(docs).select("doc_id", F.lit("location").alias("etype"), "subtype", F.col("location").alias("entity")),
+        "organization": lambda: extract.organizations(docs).select("doc_id", F.lit("organization").alias("etype"), none, F.col("organization").alias("entity")),
+        "year": years,
+    }
+    return reduce(DataFrame.unionByName, [made[k]() for k in kinds])
 
 
 def document_counts(found: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ORGANIZATION_CLASSES, classify
 from ..operators import entities, extract
-from ..session import table
+from ..session import cut_lineage, table
 from . import oracle as o
 
 QUERIES: dict = {}
@@ -33,8 +33,9 @@ def _persons(s: SparkSession, d: str) -> DataFrame:
     return entities.person_mentions(table(s, d, "extracted_names"))
 
 
-def _mentions(s: SparkSession, d: str) -> DataFrame:
-    return entities.mentions(_docs(s, d), table(s, d, "extracted_names"))
+def _mentions(s: SparkSession, d: str, *kinds: str) -> DataFrame:
+    """The mentions, written once: they are read several times and small against the texts."""
+    return cut_lineage(entities.mentions(_docs(s, d), table(s, d, "extracted_names"), kinds or entities.KINDS))
 
 
 def _links(s: SparkSession, d: str) -> DataFrame:
@@ -114,12 +115,12 @@ def _(s, d):
 
 @query("A2_location_counts", f"WITH {o.LOCATIONS} SELECT subtype, location, count(*) AS mentions FROM locations_found GROUP BY 1, 2")
 def _(s, d):
-    return entities.location_totals(_mentions(s, d))
+    return entities.location_totals(_mentions(s, d, "location"))
 
 
 @query("A3_categories", f"WITH {o.ORGANIZATIONS}, c AS (SELECT organization, count(*) AS n FROM organizations_found GROUP BY 1) SELECT {o.classify('organization', ORGANIZATION_CLASSES)} AS category, CAST(sum(n) AS BIGINT) AS total_mentions FROM c GROUP BY 1")
 def _(s, d):
-    return entities.category_totals(_mentions(s, d))
+    return entities.category_totals(_mentions(s, d, "organization"))
 
 
 @query("X6_organization_classes", f"WITH {o.ORGANIZATIONS} SELECT DISTINCT organization, {o.classify('organization', ORGANIZATION_CLASSES)} AS category FROM organizations_found")
@@ -180,12 +181,12 @@ def _(s, d):
 
 @query("G2_organization_nodes", f"WITH {o.MENTIONS}, {o.cooccurrence('organization', 3, 2)} SELECT entity AS organization, count(DISTINCT doc_id) AS mentions, {o.classify('entity', ORGANIZATION_CLASSES)} AS category FROM mentions WHERE etype = 'organization' AND entity IN (SELECT entity_a FROM edges UNION SELECT entity_b FROM edges) GROUP BY 1")
 def _(s, d):
-    return entities.organization_graph(_mentions(s, d))[0]
+    return entities.organization_graph(_mentions(s, d, "organization"))[0]
 
 
 @query("G2_organization_edges", f"WITH {o.MENTIONS}, {o.cooccurrence('organization', 3, 2)} SELECT * FROM edges")
 def _(s, d):
-    return entities.organization_graph(_mentions(s, d))[1]
+    return entities.organization_graph(_mentions(s, d, "organization"))[1]
 
 
 _GRAPH = f"""{o.LINKS}, typed AS (SELECT *, split_part(relationship, '_', 1) AS type_a, split_part(relationship, '_', 2) AS type_b FROM links),

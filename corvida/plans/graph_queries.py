@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import collapse
 from ..operators import alias, entities, extract, graph, profiles, sentiment, topics
-from ..session import table
+from ..session import cut_lineage, table
 from . import oracle as o
 
 QUERIES: dict = {}
@@ -247,7 +247,7 @@ _COMP = f"""{o.MENTIONS}, comp AS (SELECT p.entity AS person, m.etype, m.entity,
 
 
 def _mentions(s, d) -> DataFrame:
-    return entities.mentions(table(s, d, "documents"), table(s, d, "extracted_names"))
+    return cut_lineage(entities.mentions(table(s, d, "documents"), table(s, d, "extracted_names")))
 
 
 @query("J7_companions", f"WITH {_COMP} SELECT * FROM comp")
