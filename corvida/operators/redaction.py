@@ -53,8 +53,8 @@ def document_redactions(docs: DataFrame) -> DataFrame:
         chars = chars + F.aggregate(k, F.lit(0), lambda a, s: a + F.length(s))
     share = F.when(F.col("doc_length") > 0, F.round(chars * 100.0 / F.col("doc_length"), 4)).otherwise(0.0)
     return held.select(
-        "doc_id", "doc_length", "line_count", total.alias("total_redactions"), chars.alias("redaction_chars"), share.alias("redaction_percentage"),
-        *[F.size(k).alias(k) for k in REDACTIONS],
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in ("doc_length", "line_count")], total.cast("long").alias("total_redactions"),
+        chars.cast("long").alias("redaction_chars"), share.alias("redaction_percentage"), *[F.size(k).cast("long").alias(k) for k in REDACTIONS],
     )
 
 
