@@ -213,9 +213,17 @@ def oracle_sql() -> dict[str, str]:
         "p1_pairs": f"WITH {_EDGES}, {_ASSOCIATION} {_PAIRS}",
         "p1_baskets": f"WITH {_ITEMS}, {_ASSOCIATION} {_PAIRS}",
         "p5_found": f"WITH {_SHINGLES} SELECT doc_id_a, doc_id_b FROM common JOIN sizes x ON x.doc_id = doc_id_a JOIN sizes y ON y.doc_id = doc_id_b WHERE 10 * c >= 7 * greatest(x.n, y.n)",
+        "p5_groups": f"""WITH RECURSIVE {_SHINGLES},
+            pairs AS (SELECT doc_id_a AS x, doc_id_b AS y FROM common JOIN sizes a ON a.doc_id = doc_id_a JOIN sizes b ON b.doc_id = doc_id_b WHERE 10 * c >= 7 * greatest(a.n, b.n)),
+            ways AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs),
+            reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y),
+            reps AS (SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS rep FROM documents),
+            links AS (SELECT a.rep, count(DISTINCT b.rep) AS links FROM ways w JOIN reps a ON a.doc_id = w.x JOIN reps b ON b.doc_id = w.y WHERE a.rep <> b.rep GROUP BY 1)
+            SELECT r.x AS doc_id, min(r.y) AS group_id, coalesce(any_value(l.links), 0) AS links FROM reach r JOIN reps p ON p.doc_id = r.x LEFT JOIN links l ON l.rep = p.rep GROUP BY 1""",
         "p7_frequencies": f"WITH {_TERMS} SELECT * FROM marked",
         "p7_found": f"WITH {_TERMS} SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
         "p9_found": f"WITH {_PASSAGES} SELECT DISTINCT doc_id, item_id FROM runs JOIN held USING (s)",
+        "p9_clean": f"WITH {_PASSAGES} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM runs JOIN held USING (s))",
         "p10_found": f"WITH {_REPEATS} SELECT doc_id FROM shares WHERE n_words >= 30 AND n_repeated >= 0.3 * n_words",
         "p10_shares": f"WITH {_REPEATS} SELECT doc_id, n_words, n_repeated, CASE WHEN n_words > 0 THEN round(n_repeated / n_words, 6) ELSE 0.0 END AS share FROM shares",
     }
