@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..operators import alias, entities, extract, graph, profiles, sentiment, topics
+from ..operators import alias, entities, extract, graph, profiles, sentiment, similarity, topics
 from ..session import cut_lineage, table
 from . import oracle as o
 
@@ -144,13 +144,10 @@ _BY_COMPONENT = f"{_COMPONENTS}, ranked AS (SELECT component, row_number() OVER
 
 
 def _members(s, d) -> DataFrame:
-    from pyspark.sql import Window as W
-
     found = graph.connected_components(strong(s, d))
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    # one row a component: the order over all of them is what is asked for
-    ranked = sizes.withColumn("community", F.row_number().over(W.orderBy(F.desc("n"), "component")) - 1)
-    return found.join(ranked, "component").select("id", "community")
+    ranks = similarity.cluster_ranks(found.select("id", "component"))
+    number = F.regexp_extract("cluster_id", r"(\d+)$", 1).cast("int").alias("community")
+    return found.join(ranks.select("component", number), "component").select("id", "community")
 
 
 @query("G9_modularity", f"""WITH {_BY_COMPONENT}, m AS (SELECT sum(weight) AS m FROM strong), i AS (SELECT a.community, sum(CASE WHEN a.community = b.community THEN weight ELSE 0 END) AS inside FROM strong JOIN members a ON a.id = src JOIN members b ON b.id = dst GROUP BY 1),

@@ -333,7 +333,7 @@ def _(s, d):
     return table(s, d, "network_nodes_spacy").select("name", safe_filename(F.col("name")).alias("filename")).distinct()
 
 
-@query("X14_local_paths")
+@query("X14_local_paths", "SELECT doc_id, 'downloads/a b/' || file_path AS path FROM documents")
 def _(s, d):
     url = F.concat(F.lit("https://host.example/a%20b/"), F.replace("file_path", F.lit("_"), F.lit("%5F")), F.lit("?x=1"))
     return _docs(s, d).select("doc_id", local_path(url).alias("path"))
