@@ -10,6 +10,7 @@ agree. Repair puts the lines back into continuous paragraphs with SQL windows.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,9 @@ _HYPHENS = "-¬­‐‑"
 _HYPHEN_END = re.compile(rf"[^\W\d_][{_HYPHENS}][ \t]*\n")
 _HEAD = re.compile(rf"([^\W\d_]+)[{_HYPHENS}][ \t]*$")
 _TAIL = re.compile(r"(?:[ \t]{0,4}\d{1,3}[ \t]{2,}|[ \t]*)([^\W\d_]+)")
+#: Stands for a compound's own hyphen at a line end until lines are joined (a private-use character).
+_OWN_HYPHEN = "\ue000"
+_LAST_WORD, _FIRST_WORD = re.compile(r"[^\W\d_]+$"), re.compile(r"[^\W\d_]+")
 _PAGE_NUMBER = re.compile(
     r"^[ \t]*[\[(\-–—]*[ \t]*(?:page|pages|pg\.?|p\.|seite|página|pagina|folio)?[ \t]*\d{1,4}[ \t]*(?:(?:of|/|von|de|sur)[ \t]*\d{1,4})?[ \t]*[\])\-–—]*[ \t]*$",
     re.I | re.M,
@@ -142,8 +146,12 @@ class Vocabulary:
 
     def __init__(self, counts: dict[str, int], total: int):
         least = max(SUPPORT_COUNT, SUPPORT_SHARE * total)
+        #: Words with a hyphen of their own, which may stand at a line end.
+        self.compounds = frozenset(form for form in counts if "-" in form)
         groups: dict[str, list[tuple[int, str]]] = {}
         for form, n in counts.items():
+            if "-" in form:
+                continue
             groups.setdefault(skeleton(form), []).append((n, form))
         self.right: dict[str, str] = {}
         supported = []
@@ -166,6 +174,15 @@ class Vocabulary:
         return self.kept[word]
 
 
+def _compounds(text: str) -> Iterator[str]:
+    """Two words with a hyphen between them, within a line."""
+    pieces = text.split("-")
+    for left, right in zip(pieces, pieces[1:], strict=False):
+        head, tail = _LAST_WORD.search(left[-40:]), _FIRST_WORD.match(right)
+        if head and tail:
+            yield f"{head.group()}-{tail.group()}".lower()
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -174,8 +191,9 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             long = np.flatnonzero(words.ends - words.starts >= MIN_LETTERS)
             _, first, n = np.unique(words.hashes[long], return_index=True, return_counts=True)
             forms = [words.word(i) for i in long[first]]
+            joined = Counter(c for t in texts[start:end] if "-" in t for c in _compounds(t))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*forms, ""], pa.string()), pa.array([*n.tolist(), len(words.starts)], pa.int64())], ["form", "n"]
+                [pa.array([*forms, *joined, ""], pa.string()), pa.array([*n.tolist(), *joined.values(), len(words.starts)], pa.int64())], ["form", "n"]
             )
 
 
@@ -216,7 +234,7 @@ def _noise(batches: Iterator[pa.RecordBatch], counts: dict[str, int], total: int
                 margin = margin_numbered(text)
                 if margin or len(skip) >= 2:
                     rows.append((key, "page_furniture"))
-                if broken_words(text, skip=skip):
+                if broken_words(text, known.compounds, skip):
                     rows.append((key, "broken_word"))
                 bad = list(_misread(words, words.bounds[i], words.bounds[i + 1], unknown, known))
                 if bad and skip:
@@ -261,6 +279,22 @@ def _blanks_beside(lines: list[str], skip: set[int]) -> set[int]:
     return out
 
 
+def _compound_ends(lines: list[str], compounds: frozenset[str], skip: set[int]) -> set[int]:
+    """Numbers of the lines that end in a compound's own hyphen."""
+    out = set()
+    for i, line in enumerate(lines[:-1]):
+        head = _HEAD.search(line) if line.rstrip()[-1:] == "-" else None
+        if not head:
+            continue
+        j = i + 1
+        while j < len(lines) and j in skip:
+            j += 1
+        tail = _TAIL.match(lines[j]) if j < len(lines) else None
+        if tail and f"{head.group(1)}-{tail.group(1)}".lower() in compounds:
+            out.add(i)
+    return out
+
+
 def _repaired_lines(batches: Iterator[pa.RecordBatch], counts: dict[str, int], total: int) -> Iterator[pa.RecordBatch]:
     """The lines of each text, numbered, without furniture and margin numbers, misread words corrected."""
     known = Vocabulary(counts, total)
@@ -279,6 +313,7 @@ def _repaired_lines(batches: Iterator[pa.RecordBatch], counts: dict[str, int], t
             skip, margin = furniture(text), margin_numbered(text)
             own = text.split("\n")
             dropped = skip | _blanks_beside(own, skip)
+            kept_hyphens = _compound_ends(own, known.compounds, dropped)
             for n, line in enumerate(own):
                 if n in dropped:
                     continue
@@ -286,7 +321,8 @@ def _repaired_lines(batches: Iterator[pa.RecordBatch], counts: dict[str, int], t
                     line = _MARGIN.sub("", line)
                 ids.append(key)
                 numbers.append(n)
-                texts.append(re.sub(r"[\w@|]{3,}", right, line.rstrip()))
+                line = re.sub(r"[\w@|]{3,}", right, line.rstrip())
+                texts.append(line[:-1] + _OWN_HYPHEN if n in kept_hyphens else line)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string())], ["doc_id", "n", "line"])
 
 
@@ -309,7 +345,7 @@ def repaired_texts(docs: DataFrame) -> DataFrame:
     opens = F.col("line").rlike(r"^\s*(?:[-*•·]\s|\(?\d{1,3}[.)]\s|[QA]\s*[.:]\s|[A-Z][a-z]+:\s)")
     before = F.lag("line").over(own)
     after_blank = F.coalesce(F.trim(before) == "", F.lit(True))
-    hyphen = rf"\p{{L}}[{_HYPHENS}]\s*$"
+    hyphen = rf"\p{{L}}[{_HYPHENS}{_OWN_HYPHEN}]\s*$"
     broken = F.coalesce(before.rlike(hyphen), F.lit(False))
     marked = lines.withColumn("begins", (after_blank | opens) & ~broken).withColumn("glued", broken)
     grouped = marked.filter(~blank).withColumn("paragraph", F.sum(F.col("begins").cast("int")).over(own))
@@ -322,4 +358,5 @@ def repaired_texts(docs: DataFrame) -> DataFrame:
         F.concat_ws("\n\n", F.transform(F.sort_array(F.collect_list(F.struct("paragraph", "body"))), lambda x: x.body)).alias("fixed")
     )
     ids = docs.groupBy("doc_id").agg(F.max(F.col("text").isNotNull()).alias("known"))
-    return ids.join(whole, "doc_id", "left").select("doc_id", F.when(F.col("known"), F.coalesce("fixed", F.lit(""))).alias("text"))
+    fixed = F.replace(F.coalesce("fixed", F.lit("")), F.lit(_OWN_HYPHEN), F.lit("-"))
+    return ids.join(whole, "doc_id", "left").select("doc_id", F.when(F.col("known"), fixed).alias("text"))

@@ -252,6 +252,14 @@ def test_scan_noise(spark):
     assert "Page" not in fixed[21] and "COUNTY" not in fixed[21]
 
 
+def test_a_compound_at_its_own_hyphen_is_not_broken(spark):
+    body = PROSE + "It was a hand-delivered note for him. "
+    texts = [body] * 20 + [body.replace("hand-delivered", "hand-\ndelivered"), body.replace("nobody", "no-\nbody")]
+    assert [(r.doc_id, r.noise) for r in scans.page_noise(documents(spark, texts)).collect()] == [(22, "broken_word")]
+    fixed = {r.doc_id: r.text for r in scans.repaired_texts(documents(spark, texts)).collect()}
+    assert fixed[21] == fixed[22] == body.strip()
+
+
 def test_repeated_passages_are_no_headers():
     passage = "Yours truly, Susan SMITHSON\nThe lamp stood there.\nDear Ann\n"
     assert scans.furniture(scans.unified(passage * 4)) == set()
