@@ -16,6 +16,8 @@ def cluster_vectors(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col:
     from ..session import cut_lineage
 
     rows = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
+    if rows.isEmpty():
+        return rows.select("id", F.lit(-1).alias("topic"))
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(rows)
     found = cut_lineage(model.transform(rows).select("id", "cluster"))
     sizes = sorted(found.groupBy("cluster").count().collect(), key=lambda r: (-r["count"], r["cluster"]))  # at most k rows
