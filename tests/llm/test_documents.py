@@ -95,6 +95,27 @@ def test_near_duplicates_equal_brute_force(spark):
     assert len(want - set(found)) <= 0.005 * len(want)
 
 
+def test_groups_of_short_edited_copies_equal_brute_force(spark):
+    rng = random.Random(8)
+    texts = []
+    for size in (12,) * 8 + (40,) * 3:
+        base = prose(rng, 22).split()
+        for i in range(size):
+            copy = list(base)
+            copy[rng.randrange(22)] = f"edit{len(texts)}"
+            texts.append(" ".join(copy))
+    texts += [prose(rng, 22) for _ in range(200)]
+    sets = [_shingles(t) for t in texts]
+    want = {
+        (i + 1, j + 1)
+        for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.7 * max(len(sets[i]), len(sets[j]))
+    }
+    found = {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(documents(spark, texts)).collect()}
+    assert len(want) > 500
+    assert found == want
+
+
 def test_a_group_of_copies_that_fills_a_third_of_the_corpus(spark):
     rng = random.Random(6)
     base = prose(rng, 120).split()
