@@ -132,12 +132,18 @@ def _(s, d):
 
 @query("G7_betweenness")
 def _(s, d):
-    return graph.betweenness(strong(s, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
+    return graph.betweenness(edges(s, d)).select("id", F.round("betweenness", 8).alias("betweenness"))
 
 
 @query("G8_communities")
 def _(s, d):
-    return graph.communities(strong(s, d))
+    return graph.communities(edges(s, d))
+
+
+# The SQL of the components and ego networks takes pairs of weight 8 and more; these take all edges.
+@query("G14_components_all")
+def _(s, d):
+    return graph.connected_components(edges(s, d))
 
 
 _BY_COMPONENT = f"{_COMPONENTS}, ranked AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS k FROM comp GROUP BY 1), members AS (SELECT id, CAST(k AS INT) AS community FROM comp JOIN ranked USING (component))"
@@ -191,6 +197,26 @@ def _(s, d):
     return graph.ego_statistics(strong(s, d), _egos(s, d))
 
 
+def _all_egos(s, d) -> DataFrame:
+    return graph.degrees(edges(s, d)).orderBy(F.desc("degree"), "id").limit(20).select("id")
+
+
+@query("G11_ego_networks_all")
+def _(s, d):
+    return graph.ego_nodes(edges(s, d), _all_egos(s, d), 2)
+
+
+@query("G13_ego_edges_all")
+def _(s, d):
+    e = edges(s, d)
+    return graph.ego_edges(e, graph.ego_nodes(e, _all_egos(s, d))).select("ego", "src", "dst", "weight")
+
+
+@query("G12_ego_statistics_all")
+def _(s, d):
+    return graph.ego_statistics(edges(s, d), _all_egos(s, d))
+
+
 @query("F12_person_search", f"WITH {EDGES} SELECT id AS name, appearances FROM nodes WHERE contains(id, 'KEIKO')")
 def _(s, d):
     return profiles.search(nodes(s, d).withColumnRenamed("id", "name"), "keiko", "appearances")

@@ -9,7 +9,7 @@ from ..operators import entities, extract, graph, wordstats
 from ..sources import sinks
 from ..session import table
 from . import oracle as o
-from .graph_queries import EDGES, edges, nodes, strong
+from .graph_queries import EDGES, edges, nodes
 from .text_queries import _CLEAN, _PHRASE, _STOP, _W, _valid
 
 QUERIES: dict = {}
@@ -137,7 +137,7 @@ def _(s, d):
 
 @query("O2_ranked_members")
 def _(s, d):
-    own = strong(s, d)
+    own = edges(s, d)
     ranks = graph.pagerank(own, rounds=20, tolerance=None)
     return graph.communities(own).join(ranks, "id").select("id", "community", F.round("pagerank", 8).alias("pagerank")).orderBy("community", F.desc("pagerank"), "id")
 

@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 
 from corvida.operators import alias, entities, graph, profiles, sentiment, similarity, topics, wordstats
+from corvida.plans import registry
 
 
 def edges(spark, rows):
@@ -57,6 +58,32 @@ def test_centralities(spark):
         graph.betweenness(far, limit=2)
 
 
+@pytest.fixture(scope="module")
+def two_triangles(spark, tmp_path_factory):
+    """Tables of two triangles of weak pairs and one weaker pair between them."""
+    d = str(tmp_path_factory.mktemp("triangles"))
+    pairs = [("A", "B", 3), ("A", "C", 3), ("B", "C", 3), ("C", "D", 1), ("D", "E", 3), ("D", "F", 3), ("E", "F", 3)]
+    rows = [(i, a, b, w) for i, (a, b, w) in enumerate(pairs)]
+    spark.createDataFrame(rows, "edge_id long, from_name string, to_name string, weight long").write.parquet(f"{d}/network_edges_spacy.parquet")
+    spark.createDataFrame([(v, i) for i, v in enumerate("ABCDEF")], "name string, appearances long").write.parquet(f"{d}/network_nodes_spacy.parquet")
+    return pairs, d
+
+
+def test_graph_queries_take_weak_pairs(spark, two_triangles):
+    pairs, d = two_triangles
+    rows = {n: registry.queries()[n](spark, d).collect() for n in ("G7_betweenness", "G8_communities", "O2_ranked_members", "G14_components_all", "G11_ego_networks_all", "G12_ego_statistics_all", "G13_ego_edges_all")}
+    assert {r.id: r.betweenness for r in rows["G7_betweenness"]} == {v: 0.6 if v in "CD" else 0.0 for v in "ABCDEF"}
+    for name in ("G8_communities", "O2_ranked_members"):
+        assert {r.id: r.community for r in rows[name]} == {v: int(v > "C") for v in "ABCDEF"}
+    assert {r.id: r.component for r in rows["G14_components_all"]} == dict.fromkeys("ABCDEF", "A")
+    near = {v: {b if a == v else a for a, b, _ in pairs if v in (a, b)} for v in "ABCDEF"}
+    two = {(v, u) for v in near for x in near[v] for u in near[x] | {x, v}}
+    assert {(r.ego, r.id) for r in rows["G11_ego_networks_all"]} == two
+    own = {(v, a, b, w) for v in near for a, b, w in pairs if {a, b} <= near[v] | {v}}
+    assert {tuple(r) for r in rows["G13_ego_edges_all"]} == own
+    assert {(r.ego, r.edges, r.degree) for r in rows["G12_ego_statistics_all"]} == {(v, sum(e[0] == v for e in own), len(near[v])) for v in near}
+
+
 def test_ranks_sum_to_one(random_graph):
     _, frame = random_graph
     ranks = [r.pagerank for r in graph.pagerank(frame).collect()]
