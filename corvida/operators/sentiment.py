@@ -64,9 +64,10 @@ def document_sentiment(docs: DataFrame, scorer: Scorer | None = None) -> DataFra
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, word_count long, compound double, positive double, negative double, neutral double")
 
 
-def folder_chunks(docs: DataFrame) -> DataFrame:
+def folder_chunks(docs: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
     """(folder, chunk, words): the chunks of each folder's joined text, without joining it.
 
+    At most so many, evenly stepped; with None all words, chunk after chunk, the last one as long as it is.
     Words get their place in the folder from running word counts of its documents;
     each document then gives the words that fall into a chunk, so no task holds a
     folder's whole text.
@@ -78,29 +79,41 @@ def folder_chunks(docs: DataFrame) -> DataFrame:
     order = W.partitionBy("folder").orderBy("file_path", "doc_id")
     placed = held.withColumn("before", F.coalesce(F.sum(F.size("w")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     total = held.groupBy("folder").agg(F.sum(F.size("w")).alias("total"))
-    chunks = F.when(F.col("total") <= CHUNK_WORDS, 1).otherwise(F.least(F.lit(MAX_CHUNKS), F.floor(F.col("total") / CHUNK_WORDS)))
-    known = placed.join(total, "folder").withColumn("chunks", chunks.cast("int")).withColumn("step", F.floor(F.col("total") / F.col("chunks")))
+    if most is None:
+        chunks, step = F.ceil(F.col("total") / CHUNK_WORDS), F.lit(CHUNK_WORDS)
+    else:
+        chunks = F.when(F.col("total") <= CHUNK_WORDS, 1).otherwise(F.least(F.lit(most), F.floor(F.col("total") / CHUNK_WORDS)))
+        step = F.floor(F.col("total") / F.col("chunks"))
+    known = placed.join(total, "folder").withColumn("chunks", chunks.cast("int")).withColumn("step", step)
     first = F.greatest(F.lit(0), F.floor((F.col("before") - CHUNK_WORDS) / F.col("step")))
     last = F.least(F.col("chunks") - 1, F.floor((F.col("before") + F.size("w") - 1) / F.col("step")))
-    each = known.filter(first <= last).withColumn("chunk", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
-    start = F.col("chunk") * F.col("step")
-    lo = F.greatest(start - F.col("before"), F.lit(0))
-    hi = F.least(start + F.when(F.col("total") <= CHUNK_WORDS, F.col("total")).otherwise(CHUNK_WORDS) - F.col("before"), F.size("w"))
-    part = each.filter(lo < hi).select("folder", "chunk", "before", F.slice("w", (lo + 1).cast("int"), (hi - lo).cast("int")).alias("part"))
+
+    def within(chunk):
+        start = chunk * F.col("step")
+        lo = F.greatest(start - F.col("before"), F.lit(0))
+        hi = F.least(start + F.when(F.col("total") <= CHUNK_WORDS, F.col("total")).otherwise(CHUNK_WORDS) - F.col("before"), F.size("w"))
+        return F.struct(chunk.alias("chunk"), F.slice("w", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")).alias("part"))
+
+    # Parts are cut before they become rows, so a long text's words aren't repeated for each chunk.
+    each = known.filter(first <= last).select("folder", "before", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), within)).alias("c"))
+    part = each.select("folder", "c.chunk", "before", "c.part").filter(F.size("part") > 0)
     return part.groupBy("folder", "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("before", "part"))), lambda s: s["part"])).alias("words"))
 
 
 def folder_sentiment(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:
-    """(folder, file_count, word_count, compound_score, positive_ratio, negative_ratio, neutral_ratio)."""
+    """(folder, file_count, word_count, compound_score, positive_ratio, negative_ratio, neutral_ratio).
+
+    The scores are means over all chunks of a folder, by their numbers of words.
+    """
     own = scorer or lexicon_scorer()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(folder, *own(" ".join(words))) for folder, words in zip(f["folder"], f["words"], strict=True)]
-            yield pd.DataFrame(rows, columns=["folder", "c", "p", "n", "u"])
+            rows = [(folder, len(words), *own(" ".join(words))) for folder, words in zip(f["folder"], f["words"], strict=True)]
+            yield pd.DataFrame(rows, columns=["folder", "size", "c", "p", "n", "u"])
 
-    scored = folder_chunks(docs).select("folder", "words").mapInPandas(run, "folder string, c double, p double, n double, u double")
-    means = scored.groupBy("folder").agg(*[F.round(F.avg(c), 4).alias(a) for c, a in (("c", "compound_score"), ("p", "positive_ratio"), ("n", "negative_ratio"), ("u", "neutral_ratio"))])
+    scored = folder_chunks(docs, None).select("folder", "words").mapInPandas(run, "folder string, size long, c double, p double, n double, u double")
+    means = scored.groupBy("folder").agg(*[F.round(F.sum(F.col(c) * F.col("size")) / F.sum("size"), 4).alias(a) for c, a in (("c", "compound_score"), ("p", "positive_ratio"), ("n", "negative_ratio"), ("u", "neutral_ratio"))])
     words = F.size(F.filter(F.split(F.regexp_replace("text", r"\s+", " "), " "), lambda w: w != ""))
     sizes = docs.filter("text IS NOT NULL AND text <> ''").groupBy(folder_of(F.col("file_path")).alias("folder")).agg(F.count(F.lit(1)).alias("file_count"), F.sum(words).alias("word_count"))
     return sizes.join(means, "folder")

@@ -203,6 +203,18 @@ def test_sentiment_chunks(spark):
     assert sentiment.analyzed("short", sentiment.lexicon_scorer()) == (0.0, 0.0, 0.0, 0.0, 0)
 
 
+def test_folder_sentiment_scores_every_word(spark):
+    words = ["good" if i % 3 == 0 and i >= 1000 else "bad" if i % 7 == 0 else "lamp" for i in range(120_345)]
+    cuts = [0, 10, 1500, 90_000, len(words)]
+    rows = [(i, f"f/{i}.txt", " ".join(words[a:b])) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    row = sentiment.folder_sentiment(spark.createDataFrame(rows, "doc_id long, file_path string, text string")).first()
+    score = sentiment.lexicon_scorer()
+    parts = [words[k : k + 1000] for k in range(0, len(words), 1000)]
+    mean = sum(score(" ".join(p))[0] * len(p) for p in parts) / len(words)
+    assert row.word_count == len(words) and row.compound_score == pytest.approx(mean, abs=1e-4)
+    assert row.positive_ratio == round(words.count("good") / len(words), 4) and row.negative_ratio == round(words.count("bad") / len(words), 4)
+
+
 def test_topics(spark):
     vectors = spark.createDataFrame([(i, [float(i % 2) * 10 + 0.01 * i, 1.0]) for i in range(12)] + [(50, [500.0, 1.0])], "vec_id long, embedding array<float>")
     found = {r.id: r.topic for r in topics.cluster_vectors(vectors, 3).collect()}
