@@ -169,6 +169,19 @@ def _(s, d):
     return graph.community_summary(strong(s, d), _members(s, d), nodes(s, d))
 
 
+# The SQL of these two takes components of pairs of weight 8 and more for communities; these take the found ones over all edges.
+@query("G9_community_modularity")
+def _(s, d):
+    own = edges(s, d)
+    return graph.modularity(own, graph.communities(own))
+
+
+@query("A26_found_communities")
+def _(s, d):
+    own = edges(s, d)
+    return graph.community_summary(own, graph.communities(own), nodes(s, d))
+
+
 _EGOS = f"{STRONG}, egos AS (SELECT src AS ego FROM strong_arcs GROUP BY 1 ORDER BY count(*) DESC, src LIMIT 20)"
 _EGO1 = f"{_EGOS}, mem AS (SELECT ego, ego AS id, 0 AS distance FROM egos UNION SELECT ego, dst, 1 FROM egos JOIN strong_arcs ON src = ego)"
 

@@ -84,6 +84,20 @@ def test_graph_queries_take_weak_pairs(spark, two_triangles):
     assert {(r.ego, r.edges, r.degree) for r in rows["G12_ego_statistics_all"]} == {(v, sum(e[0] == v for e in own), len(near[v])) for v in near}
 
 
+def test_found_communities(spark, two_triangles):
+    pairs, d = two_triangles
+    total = sum(w for *_, w in pairs)
+    want, rows = 0.0, set()
+    for i, c in enumerate(("ABC", "DEF")):
+        inside = [w for a, b, w in pairs if a in c and b in c]
+        ends = sum(w * ((a in c) + (b in c)) for a, b, w in pairs)
+        want += sum(inside) / total - (ends / (2 * total)) ** 2
+        rows.add((i, 3, len(inside), len(inside) / 3, sum("ABCDEF".index(v) for v in c), c[-1]))
+    assert registry.queries()["G9_community_modularity"](spark, d).first().modularity == pytest.approx(want, abs=1e-6)
+    found = registry.queries()["A26_found_communities"](spark, d).collect()
+    assert {(r.community, r.size, r.internal_edges, r.density, r.total_appearances, r.key_figure) for r in found} == rows
+
+
 def test_ranks_sum_to_one(random_graph):
     _, frame = random_graph
     ranks = [r.pagerank for r in graph.pagerank(frame).collect()]
