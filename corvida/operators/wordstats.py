@@ -91,24 +91,29 @@ def _grams(docs: DataFrame, cleaned: Column, token: str, sizes: tuple[int, ...],
     return held.select("doc_id", F.explode(F.concat(*[ngrams(F.col("words"), n) for n in sizes])).alias("term"))
 
 
-def tfidf(grams: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int = 10_000) -> DataFrame:
+def tfidf(grams: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int | None = 10_000) -> DataFrame:
     """(doc_id, term, tf, df, w): raw counts times ln((1 + N) / (1 + df)) + 1, rows of unit length.
 
     Terms outside the document-frequency bounds are dropped, then all but the most
-    frequent max_features; these settings bound the fan-out of later joins.
+    frequent max_features, if given; these settings bound the fan-out of later joins.
     """
     counts = grams.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-    kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.desc("cf"), "term").limit(max_features)
-    known = counts.join(F.broadcast(kept.select("term", "df")), "term")  # at most max_features rows
+    kept = terms.filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    if max_features is None:
+        known = counts.join(kept.select("term", "df"), "term")
+    else:
+        kept = kept.orderBy(F.desc("cf"), "term").limit(max_features)
+        known = counts.join(F.broadcast(kept.select("term", "df")), "term")  # at most max_features rows
     weighed = known.withColumn("w", F.col("tf") * (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0))
     norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return weighed.join(norms, "doc_id").select("doc_id", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("w"))
 
 
-def similarity_tfidf(docs: DataFrame, min_chars: int = 50, max_chars: int = 50_000, stop_words=tuple(ENGLISH), max_features: int = 10_000) -> DataFrame:
-    """tf-idf of one- and two-word terms for comparing documents."""
-    kept = docs.filter(F.length(F.trim("text")) >= min_chars).select("doc_id", F.substring("text", 1, max_chars).alias("text"))
+def similarity_tfidf(docs: DataFrame, min_chars: int = 50, max_chars: int | None = 50_000, stop_words=tuple(ENGLISH), max_features: int | None = 10_000) -> DataFrame:
+    """tf-idf of one- and two-word terms for comparing documents; with None the whole texts and all their terms."""
+    text = F.col("text") if max_chars is None else F.substring("text", 1, max_chars)
+    kept = docs.filter(F.length(F.trim("text")) >= min_chars).select("doc_id", text.alias("text"))
     grams = _grams(kept, F.lower(sanitize(F.col("text"))), SIMILARITY_TOKEN, (1, 2), stop_words)
     return tfidf(grams, kept.count(), 2, 0.95, max_features)
 

@@ -219,6 +219,45 @@ def _(s, d):
     return similarity.cluster_ranks(similarity.clusters(_pairs(s, d)))
 
 
+# The SQL of the similar documents takes the first 50,000 characters and the 10,000 most frequent terms; these take all.
+def _whole_weights(s, d):
+    return wordstats.similarity_tfidf(_docs(s, d), max_chars=None, max_features=None)
+
+
+def _whole_pairs(s, d):
+    return similarity.similar_pairs(_whole_weights(s, d))
+
+
+@query("A12_tfidf_documents_whole")
+def _(s, d):
+    return _whole_weights(s, d).select("doc_id", "term", "tf", "df", F.round("w", 6).alias("w"))
+
+
+@query("J8_similar_documents_whole")
+def _(s, d):
+    return _whole_pairs(s, d)
+
+
+@query("A25_similarity_levels_whole")
+def _(s, d):
+    return similarity.similarity_levels(_whole_pairs(s, d))
+
+
+@query("A28_similarity_histogram_whole")
+def _(s, d):
+    return similarity.histogram(_whole_pairs(s, d), "similarity", 0.8, 1.0, 50)
+
+
+@query("G14_similarity_clusters_whole")
+def _(s, d):
+    return similarity.clusters(_whole_pairs(s, d))
+
+
+@query("W3_cluster_ranks_whole")
+def _(s, d):
+    return similarity.cluster_ranks(similarity.clusters(_whole_pairs(s, d)))
+
+
 @query("J8_similar_embeddings", "SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.5")
 def _(s, d):
     pairs = similarity.embedding_pairs(table(s, d, "embeddings"), 0.5)

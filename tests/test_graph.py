@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections import deque
 from itertools import combinations
@@ -191,6 +192,36 @@ def test_tfidf_rows_have_unit_length(spark):
     assert wordstats.key_phrases(*wordstats.phrase_tfidf(docs.filter("doc_id < 0"))).count() == 0
 
 
+def test_whole_texts_are_compared(spark, tmp_path):
+    rng = random.Random(11)
+
+    def part(n):
+        return ["".join(rng.choice("bcdfghjklm") for _ in range(7)) for _ in range(n)]
+
+    head, a, b, c, e, tail = (part(n) for n in (6500, 6500, 6500, 6500, 6500, 30_000))  # 6,500 words are 52,000 characters
+    texts = [head + a, head + b, a, b, c + tail, e + tail, c, e]
+    vectors, df = [], {}
+    for t in texts:
+        tf: dict = {}
+        for g in t + [f"{x} {y}" for x, y in zip(t, t[1:])]:
+            tf[g] = tf.get(g, 0) + 1
+        vectors.append(tf)
+        for g in tf:
+            df[g] = df.get(g, 0) + 1
+    for i, tf in enumerate(vectors):
+        w = {g: n * (math.log(9 / (1 + df[g])) + 1) for g, n in tf.items() if df[g] >= 2}
+        norm = sum(x * x for x in w.values()) ** 0.5
+        vectors[i] = {g: x / norm for g, x in w.items()}
+    sims = {(i, j): sum(x * vectors[j].get(g, 0) for g, x in vectors[i].items()) for i, j in combinations(range(8), 2)}
+    want = {k: v for k, v in sims.items() if v >= 0.8}
+    assert (4, 5) in want and (0, 1) not in want
+    spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    queries = registry.queries()
+    found = {(r.doc_a, r.doc_b): r.similarity for r in queries["J8_similar_documents_whole"](spark, str(tmp_path)).collect()}
+    assert found == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    assert queries["A12_tfidf_documents_whole"](spark, str(tmp_path)).count() == sum(map(len, vectors))
+
+
 def test_cooccurrence_bounds(spark):
     names = spark.createDataFrame([(d, [f"P{(d * k) % 7}" for k in range(4)]) for d in range(40)], "doc_id long, persons array<string>")
     found = entities.person_mentions(names)
