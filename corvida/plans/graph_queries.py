@@ -441,16 +441,12 @@ def _(s, d):
 
 @query("Q4_witness_statements")
 def _(s, d):
-    # the delivered contexts are the passages themselves
-    said = table(s, d, "all_quotes").dropDuplicates(["quote_id"]).filter("quote_type = 'witness_statement'")
-    return _quote_rows(extract.witness_statements(said.select(F.col("quote_id").alias("doc_id"), F.col("context").alias("text"))))
+    return _quote_rows(extract.witness_statements(table(s, d, "documents")))
 
 
 @query("Q5_attorney_questions")
 def _(s, d):
-    text = F.regexp_replace("context", r"(?s)\n?$", "\nA. Yes.")
-    asked = table(s, d, "all_quotes").dropDuplicates(["quote_id"]).filter("quote_type = 'attorney_question'")
-    return _quote_rows(extract.attorney_questions(asked.select(F.col("quote_id").alias("doc_id"), text.alias("text"))))
+    return _quote_rows(extract.attorney_questions(table(s, d, "documents")))
 
 
 @query("Q6_all_quotes")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvida.functions import text as t
 from corvida.operators import extract, quality, redaction
+from corvida.plans import registry
 
 
 def values(spark, column, *inputs):
@@ -104,3 +105,13 @@ def test_models_can_stand_in_for_rules(spark):
 @pytest.mark.parametrize("rule", [extract.persons, extract.locations, extract.organizations, extract.date_mentions])
 def test_rules_take_empty_tables(spark, rule):
     assert rule(docs(spark, "x").filter("doc_id < 0")).count() == 0
+
+
+def test_statements_and_questions_are_read_from_documents(spark, tmp_path):
+    long = " ".join(["I went to the house by the lake that day and stayed"] * 6)
+    texts = [f"Page 4\nTHE WITNESS: {long}.\nQ. Why?", f"BY MR. JONES:\nQ. {long}?\nA. Yes.", None]
+    docs(spark, *texts).write.parquet(f"{tmp_path}/documents.parquet")
+    said = registry.queries()["Q4_witness_statements"](spark, str(tmp_path)).collect()
+    assert [r.quote for r in said if r.speaker == "THE WITNESS"] == [long] and len(long) > 200
+    asked = registry.queries()["Q5_attorney_questions"](spark, str(tmp_path)).collect()
+    assert [(r.speaker, r.quote) for r in asked] == [("MR. JONES", long + "?")]
