@@ -49,8 +49,10 @@ SUBSET = 3
 BLOCK = 512
 #: Bits of a signature; texts that share one by chance are only compared once more.
 SIGNATURE_BITS = 48
-#: Low bits beside an id that say how large its set is, in steps of a twentieth; sets of too different sizes make no pair.
+#: Low bits below a signature that say how large the text's set is, in steps of a twentieth; sets of too different sizes
+#: make no pair. The bit above them says whether the partition holds several elements.
 SIZE_BITS, SIZE_STEP = 8, 1.05
+GROUP_SHIFT = SIZE_BITS + 1
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
 
@@ -103,7 +105,7 @@ def _signatures_of(elements: np.ndarray, band: int, domain: int) -> np.ndarray:
     content = np.add.reduceat(mix(spread[order] ^ np.uint64(0xA5A5A5A5)), first)
     sig = mix(content + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * band + domain)) >> np.uint64(64 - SIGNATURE_BITS)
     several = np.diff(np.append(first, len(part))) > 1
-    return sig << np.uint64(1) | several
+    return (sig << np.uint64(1) | several) << np.uint64(SIZE_BITS)
 
 
 def _bands(size: int) -> set[int]:
@@ -126,8 +128,8 @@ def _signatures(batches: Iterator[pa.RecordBatch], common: bytes, min_words: int
             size = min(int(np.log(len(elements)) / np.log(SIZE_STEP)), (1 << SIZE_BITS) - 1)
             for band in _bands(len(elements)):
                 for domain, chosen in domains:
-                    out.append(_signatures_of(chosen, band, domain))
-                    owners.append(np.full(len(out[-1]), ids[i] << SIZE_BITS | size, dtype=np.int64))
+                    out.append(_signatures_of(chosen, band, domain) | np.uint64(size))
+                    owners.append(np.full(len(out[-1]), ids[i], dtype=np.int64))
             if len(out) > 20_000:
                 yield _rows(out, owners)
                 out, owners = [], []
@@ -142,35 +144,36 @@ def _rows(out: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts under one signature; rows come sorted by signature and id.
+    """Pairs of texts under one signature; rows come sorted by key (signature, then size of the set) and id.
 
     A row with sig set is a member of a group over BLOCK, handed on for splitting.
     """
-    sig, cls = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
     hot: int | None = None
 
     apart = np.log(1 / CONTAINMENT) / np.log(SIZE_STEP) + 1
+    low = (1 << SIZE_BITS) - 1
 
     def rows(a: np.ndarray, b: np.ndarray, s: pa.Array, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), s, pa.array(n.astype(np.int32))], ["a", "b", "sig", "n"])
 
-    def emit(a: np.ndarray, b: np.ndarray, several: np.ndarray) -> pa.RecordBatch:
-        low = (1 << SIZE_BITS) - 1
-        near = np.abs((a & low) - (b & low)) <= apart
-        a, b = a[near] >> SIZE_BITS, b[near] >> SIZE_BITS
-        return rows(np.minimum(a, b), np.maximum(a, b), pa.nulls(len(a), pa.int64()), 1 + several[near])
+    def emit(x: np.ndarray, y: np.ndarray, key_x: np.ndarray, key_y: np.ndarray) -> pa.RecordBatch:
+        near = np.abs((key_x & low) - (key_y & low)) <= apart
+        x, y, several = x[near], y[near], (key_x[near] >> SIZE_BITS) & 1
+        return rows(np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()), 1 + several)
 
-    def done(sig: np.ndarray, cls: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def done(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal hot
-        if not len(sig):
+        if not len(key):
             return
+        sig = key >> GROUP_SHIFT
         start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         size = np.diff(np.concatenate((start, [len(sig)])))
         large = (size > BLOCK) | (sig[start] == (hot if hot is not None else 0)) & (hot is not None)
         for k in np.flatnonzero(large):
-            members = cls[start[k] : start[k] + size[k]]
+            members = ids[start[k] : start[k] + size[k]]
             hot = int(sig[start[k]])
-            yield rows(members >> SIZE_BITS, members >> SIZE_BITS, pa.array(np.full(len(members), hot)), np.full(len(members), SUBSET))
+            yield rows(members, members, pa.array(np.full(len(members), hot)), np.full(len(members), SUBSET))
         top = int(size[~large].max(initial=1))
         group = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(sig)) - start[group]
@@ -179,24 +182,25 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for step in range(1, top):
             at = np.flatnonzero(left >= step)
             if len(at):
-                yield emit(cls[at], cls[at + step], sig[at] & 1)
+                yield emit(ids[at], ids[at + step], key[at], key[at + step])
 
     for batch in batches:
-        s = np.concatenate((sig, batch.column("sig").to_numpy()))
-        c = np.concatenate((cls, batch.column("id").to_numpy()))
-        if len(s):
-            new = np.concatenate(([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1])))
-            s, c = s[new], c[new]
-            last = int(np.searchsorted(s == s[-1], True)) if (s == s[-1]).all() else int(len(s) - np.argmax(s[::-1] != s[-1]))
-            if len(s) - last > BLOCK:  # an over-large group is handed on as it comes, but for its last row
-                hold = len(s) - 1
-                hot = int(s[-1])
-                yield from done(s[:hold], c[:hold])
-                sig, cls = s[hold:], c[hold:]
+        k = np.concatenate((key, batch.column("sig").to_numpy()))
+        c = np.concatenate((ids, batch.column("id").to_numpy()))
+        if len(k):
+            new = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+            k, c = k[new], c[new]
+            other = np.flatnonzero(k >> GROUP_SHIFT != k[-1] >> GROUP_SHIFT)
+            last = int(other[-1]) + 1 if len(other) else 0
+            if len(k) - last > BLOCK:  # an over-large group is handed on as it comes, but for its last row
+                hold = len(k) - 1
+                hot = int(k[-1] >> GROUP_SHIFT)
+                yield from done(k[:hold], c[:hold])
+                key, ids = k[hold:], c[hold:]
             else:
-                yield from done(s[:last], c[:last])
-                sig, cls = s[last:], c[last:]
-    yield from done(sig, cls)
+                yield from done(k[:last], c[:last])
+                key, ids = k[last:], c[last:]
+    yield from done(key, ids)
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch], min_words: int, shingle: int) -> Iterator[pa.RecordBatch]:
@@ -266,7 +270,7 @@ def near_duplicate_links(
     copies = _copies(docs)
     own = _by_ids(docs, copies.filter("doc_id <> rep").select("doc_id").dropDuplicates(), "left_anti")
     signed = own.mapInArrow(partial(_signatures, common=np.packbits(heavy).tobytes(), **shape), "sig long, id long")
-    paired = signed.repartition("sig").sortWithinPartitions("sig", "id").mapInArrow(_pairs, "a long, b long, sig long, n int")
+    paired = signed.repartition(F.shiftright("sig", GROUP_SHIFT)).sortWithinPartitions("sig", "id").mapInArrow(_pairs, "a long, b long, sig long, n int")
     agreeing = paired.groupBy("a", "b", "sig").agg(F.sum("n").alias("n"))
     agreeing = cut_lineage(agreeing.filter((F.col("n") >= SUBSET) | F.col("sig").isNotNull()))
     # One agreement within an over-large group is enough: the others may lie in groups of ordinary size.

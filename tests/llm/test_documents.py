@@ -116,6 +116,34 @@ def test_groups_of_short_edited_copies_equal_brute_force(spark):
     assert found == want
 
 
+def test_ids_of_any_size(spark):
+    rng = random.Random(11)
+    base = prose(rng, 60)
+    ids = [1 << 62, -(1 << 62), (1 << 60) + 1]
+    docs = spark.createDataFrame([(i, base + f" edit{i}") for i in ids] + [(5, prose(rng, 60))], "doc_id long, text string")
+    found = {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(docs).collect()}
+    assert found == {(a, b) for a in ids for b in ids if a < b}
+
+
+@pytest.mark.parametrize(("words", "size", "edits"), [(24, 15, 1), (24, 30, 1), (30, 30, 2), (26, 100, 1)])
+def test_families_of_short_texts_lose_no_link(spark, words, size, edits):
+    rng = random.Random(words * size)
+    base = prose(rng, words).split()
+    texts = []
+    for i in range(size):
+        copy = list(base)
+        for k in range(edits):
+            copy[rng.randrange(words)] = f"edit{i}x{k}"
+        texts.append(" ".join(copy))
+    sets = [_shingles(t) for t in texts]
+    want = {
+        (i + 1, j + 1)
+        for i in range(size) for j in range(i + 1, size)
+        if len(sets[i] & sets[j]) >= 0.7 * max(len(sets[i]), len(sets[j]))
+    }
+    assert want and {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(documents(spark, texts)).collect()} == want
+
+
 def test_a_group_of_copies_that_fills_a_third_of_the_corpus(spark):
     rng = random.Random(6)
     base = prose(rng, 120).split()
@@ -133,8 +161,9 @@ def test_over_large_signature_groups_go_to_blocks(spark, monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(near_duplicates, "BLOCK", 4)
-    ids = [(i << near_duplicates.SIZE_BITS) | 50 for i in range(1, 12)]
-    batches = [pa.RecordBatch.from_pydict({"sig": [9] * 6, "id": ids[:6]}), pa.RecordBatch.from_pydict({"sig": [9] * 5 + [10, 10], "id": ids[6:] + ids[:2]})]
+    ids = list(range(1, 12))
+    nine, ten = (k << near_duplicates.GROUP_SHIFT | 50 for k in (9, 10))
+    batches = [pa.RecordBatch.from_pydict({"sig": [nine] * 6, "id": ids[:6]}), pa.RecordBatch.from_pydict({"sig": [nine] * 5 + [ten, ten], "id": ids[6:] + ids[:2]})]
     rows = [r for b in near_duplicates._pairs(iter(batches)) for r in b.to_pylist()]
     hot = {r["a"] for r in rows if r["sig"] is not None}
     assert hot == set(range(1, 12))
