@@ -28,26 +28,11 @@ ITEM_BLOCK = 5_000
 ITEM_BLOCK_CHARS = 20_000_000
 
 _BREAK = re.compile("(?<=[^\\W_])[-¬­‐‑][ \t]*\r?\n[ \t]*(?=[^\\W_])")
-_HEAD = re.compile(r"[^\W_]+$")
-_TAIL = re.compile(r"[^\W_]+")
 
 
-def joined_breaks(text: str, vocabulary: set[str]) -> str:
-    """The text with words put together that a hyphen mark splits over a line end.
-
-    A hyphen at a line end may also belong to a compound; the parts are put
-    together only where that gives a word of the vocabulary.
-    """
-    if "\n" not in text:
-        return text
-    out, at = [], 0
-    for m in _BREAK.finditer(text):
-        head = _HEAD.search(text, max(at, m.start() - 80), m.start())
-        tail = _TAIL.match(text, m.end())
-        if head and tail and (head.group() + tail.group()).lower() in vocabulary:
-            out.append(text[at : m.start()])
-            at = m.end()
-    return "".join([*out, text[at:]]) if out else text
+def joined_breaks(text: str) -> str:
+    """The text with every word put together that a hyphen mark splits over a line end."""
+    return _BREAK.sub("", text) if "\n" in text else text
 
 
 def _suffix_keys(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -60,7 +45,7 @@ def _suffix_keys(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
 
 class _Tests:
     def __init__(self, items: list[tuple[int, str]], run: int):
-        words = Words([t for _, t in items])
+        words = Words([joined_breaks(t) for _, t in items])
         self.hashes, self.bounds = words.hashes, words.bounds
         self.ids = np.array([i for i, _ in items], dtype=np.int64)
         owner = np.repeat(np.arange(len(items)), np.diff(self.bounds))
@@ -70,7 +55,6 @@ class _Tests:
         self.keys = _suffix_keys(self.hashes, self.at, run)
         opening = min(OPENING, run)
         self.openings = np.unique(grams(self.hashes, opening)[self.at]) if len(self.at) else np.zeros(0, np.uint64)
-        self.vocabulary = {w for _, t in items for w in re.findall(r"[^\W_]+", t.lower())}
 
 
 def _matches(words: Words, tests: _Tests, run: int) -> Iterator[tuple[int, int, int, int]]:
@@ -112,7 +96,7 @@ def _leaks(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], run:
         texts = [t or "" for t in batch.column("text").to_pylist()]
         rows = []
         for start, end in chunks(texts):
-            words = Words([joined_breaks(t, tests.vocabulary) for t in texts[start:end]])
+            words = Words([joined_breaks(t) for t in texts[start:end]])
             rows += [(ids[start + d], int(tests.ids[i]), n, p) for d, i, n, p in _matches(words, tests, run)]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -137,7 +121,8 @@ def leaked_passages(docs: DataFrame, items: DataFrame, run: int = MIN_RUN) -> Da
     """(doc_id, item_id, words, position): the longest passage of each item in each document.
 
     A row for each document that holds at least `run` consecutive words of the item;
-    `position` counts the document's words before it. Null and short texts match
+    `position` counts the document's words before it. A word that a hyphen mark splits
+    over a line end is one word, in documents and items alike, whichever items are searched. Null and short texts match
     nothing; repeated rows give one result; no items give no rows.
     """
     schema = "doc_id long, item_id long, words int, position long"
