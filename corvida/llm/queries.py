@@ -142,7 +142,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_fertility(spark: SparkSession, d: str) -> DataFrame:
-    """Tokenizer statistics of every document and whether they leave its script's bands."""
+    """Tokenizer statistics of every document by each vocabulary, and whether they leave its script's bands."""
     return repetition.fertility(table(spark, d, "documents"))
 
 

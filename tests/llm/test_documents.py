@@ -348,10 +348,29 @@ def test_repeated_passages_are_no_headers():
     assert scans.furniture(scans.unified(passage * 4)) == set()
 
 
+@pytest.mark.skipif(not Path(repetition.VOCABULARIES[0]).exists(), reason="no vocabulary files here")
 def test_fertility_bands(spark):
-    pytest.importorskip("sentencepiece")
-    if not Path("/opt/tokenizers/piece_bpe_32k.model").exists():
-        pytest.skip("no vocabulary files here")
-    found = {r.doc_id: r for r in repetition.fertility(documents(spark, [PROSE, PROSE * 2, None, "", "𓀀𓀁𓀂"])).collect()}
-    assert found[3].n_tokens == 0 and found[3].rejected is False
-    assert found[1].script == "Latin" and found[5].byte_share > 0.5
+    frame = repetition.fertility(documents(spark, [PROSE, PROSE * 2, None, "", "𓀀𓀁𓀂", "la " * 300]))
+    found = {(r.doc_id, r.vocabulary): r for r in frame.collect()}
+    assert len(found) == 18
+    piece, multi = "piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken"
+    assert found[3, piece].n_tokens == 0 and found[3, piece].rejected is False and found[4, multi].rejected is False
+    assert found[1, piece].script == "Latin" and found[5, piece].byte_share > 0.5 and found[5, multi].byte_share > 0.5
+    assert all(found[6, v].rejected for v in (piece, multi))
+
+
+@pytest.mark.skipif(not Path(repetition.VOCABULARIES[0]).exists(), reason="no vocabulary files here")
+def test_the_band_leaves_no_repetitive_text_out(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(120):
+        share = rng.choice((0.0, 0.2, 0.28, 0.3, 0.32, 0.5))
+        own = prose(rng, rng.randint(25, 120), rng.choice((30, 400, 3000)))
+        again = " ".join(own.split()[: int(len(own.split()) * share / (1 - share)) + 1])
+        texts.append((own + ". " + again.upper()) if i % 2 else own + " 7 " + again)
+    texts += ["我们今天去公园" * 40, "мы говорим о деле сегодня в суде и завтра " * 6, "", None]
+    docs = documents(spark, texts)
+    want = {i for i, t in enumerate(texts, 1) if (k := _repeated(t or ""))[0] >= 30 and k[1] >= 0.3 * k[0]}
+    assert want and {r.doc_id for r in repetition.repetitive_documents(docs).collect()} == want
+    band = {r.doc_id for r in repetition.repetition_band(docs).collect() if r.in_band}
+    assert want <= band and len(band) < len(texts) - 10
