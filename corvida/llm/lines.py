@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+
+from .words import Words
+
 # Frequent words of English, Spanish, French, German, Italian and Portuguese.
 FUNCTION_WORDS = frozenset(
     "the of and to in a is was were that this it he she they we you i not on at by for with from had has have be been but or as which who "
@@ -89,68 +93,55 @@ def line_kind(line: str) -> int:
     return NEUTRAL
 
 
-def line_kinds(text: str) -> list[tuple[int, int]]:
-    """(kind, visible characters) of each line; undecided lines go with their neighbours.
+def settled(kinds: list[int], sizes: list[int], lines: list[str]) -> list[int]:
+    """Kinds in which undecided lines go with their neighbours.
 
     An undecided line next to prose is its continuation; one beside entries, rows or
     forms is one of them.
     """
-    lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-    kinds = [line_kind(x) for x in lines]
-    sizes = [sum(map(len, x.split())) for x in lines]
     out = list(kinds)
     for i, k in enumerate(kinds):
         if k != NEUTRAL or not sizes[i]:
             continue
         above = kinds[i - 1] if i and sizes[i - 1] else NEUTRAL
         below = kinds[i + 1] if i + 1 < len(kinds) and sizes[i + 1] else NEUTRAL
-        if MAIL_HEADER.match(lines[i]):
+        if above == NEUTRAL and below == NEUTRAL or MAIL_HEADER.match(lines[i]):
             continue
         if PROSE in (above, below):
             out[i] = PROSE
-        elif above > PROSE and below > PROSE or (above > PROSE or below > PROSE) and NEUTRAL in (above, below):
+        elif above > PROSE and below > PROSE or NEUTRAL in (above, below):
             out[i] = max(above, below)
-    return list(zip(out, sizes, strict=True))
-
-
-_BULLETED = re.compile(r"^[ \t]*(?:[-*•·–—▪◦‣○●]|\(?\d{1,4}[.)]|\(?[A-Za-z][.)]|\[[ xX]?\])[ \t]", re.M)
-_LABELLED = re.compile(r"^[^\n:.,]{1,40}:(?!//)", re.M)
-
-
-def _suspects(text: str) -> set[tuple[int, int]]:
-    """Bounds of the lines that may be entries, rows or forms, found in the text as a whole."""
-    at = [m.start() for rule in (_BULLETED, _LABELLED) for m in rule.finditer(text)]
-    for mark in ("|", "\t", "; ", "  "):
-        i = text.find(mark)
-        while i >= 0:
-            at.append(i)
-            i = text.find("\n", i)
-            i = text.find(mark, i) if i >= 0 else -1
-    out = set()
-    for i in at:
-        end = text.find("\n", i)
-        out.add((text.rfind("\n", 0, i) + 1, len(text) if end < 0 else end))
     return out
 
 
-#: Texts with at least this share of function words can't be half garbage; only suspect lines are looked at.
-MANY_FUNCTION_WORDS = 0.25
-
-
-def structured_share(text: str, function_share: float) -> float:
-    """Share of the visible characters of sentences and structure that stands in entries, rows, forms and garbage."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if function_share < MANY_FUNCTION_WORDS:
-        structured = prose = other = 0
-        for kind, size in line_kinds(text):
-            structured += size * (kind > PROSE)
-            prose += size * (kind == PROSE)
-            other += size * (kind == NEUTRAL)
-        return structured / (structured + prose) if structured + prose else (1.0 if other > 200 and function_share == 0 else 0.0)
-    structured = 0
-    for start, end in _suspects(text):
-        line = text[start:end]
-        if line_kind(line) > PROSE:
-            structured += len(line) - line.count(" ")
-    visible = len(text) - text.count(" ") - text.count("\n")
-    return structured / visible if visible else 0.0
+def kind_sizes(texts: list[str], words: Words, frequent: np.ndarray) -> np.ndarray:
+    """Visible characters of each text in lines of each kind (a row a text, a column a kind).
+
+    Lines with five words or more, a fifth of them function words, and no bar or tab
+    are prose; that is settled for all lines at once. Every other line is looked at by
+    itself. `words` are the words of the texts, `frequent` marks the function words.
+    """
+    codes, offsets = words.codes, words.offsets
+    ends = np.flatnonzero((codes == 0x0A) | (codes == 0))
+    ends = np.append(ends, len(codes))
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    owner = np.searchsorted(offsets, starts, side="right") - 1
+    at = np.searchsorted(ends, words.starts)
+    n, known = np.bincount(at, minlength=len(ends)), np.bincount(at, weights=frequent, minlength=len(ends))
+    shown = np.concatenate(([0], np.cumsum(~((codes <= 0x20) | (codes == 0xA0)))))
+    bars = np.concatenate(([0], np.cumsum((codes == 0x7C) | (codes == 0x09))))
+    sizes = shown[ends] - shown[starts]
+    kinds = np.where((n >= 5) & (bars[ends] == bars[starts]) & (known >= np.maximum(2, 0.2 * n)), PROSE, NEUTRAL)
+    out = np.zeros((len(texts), 6), dtype=np.int64)
+    open_lines = (kinds == NEUTRAL) & (sizes > 0)
+    first = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for i in np.unique(owner[open_lines]):
+        text, lo, hi = texts[i], first[i], first[i + 1]
+        own, size = kinds[lo:hi].tolist(), sizes[lo:hi].tolist()
+        bounds = [(int(a), int(b)) for a, b in zip(starts[lo:hi] - offsets[i], ends[lo:hi] - offsets[i], strict=True)]
+        lines = [text[a:b] for a, b in bounds]
+        for k in np.flatnonzero(open_lines[lo:hi]):
+            own[k] = line_kind(lines[k])
+        kinds[lo:hi] = settled(own, size, lines)
+    np.add.at(out, (owner, kinds), sizes)
+    return out

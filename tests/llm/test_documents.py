@@ -299,18 +299,59 @@ TABLE = "\n".join(f"{1000 + i}\tlamp\t{i}\t{i * 3}.50\t{i},912.10" for i in rang
 LIST = "Inventory\n" + "\n".join(f"{i}. damp tenant {i}" for i in range(1, 40))
 
 
+JUNK = "zt h rpgpcq bcxh pwtcmvk frfbhrw knlwjpf " * 20
+
+
 def test_text_types(spark):
-    shapes = [PROSE * 4] * 30 + [TABLE] * 10 + [LIST] * 10 + ["zt h rpgpcq bcxh pwtcmvk frfbhrw knlwjpf " * 20] * 5
+    shapes = [PROSE * 4] * 30 + [TABLE] * 10 + [LIST] * 10 + [JUNK] * 5
     shapes += ["\n\n".join(f"{i}. {PROSE}" for i in range(1, 6)), PROSE.upper() * 3, PROSE + "\n- old lamp\n- new lamp\n" + PROSE, PROSE[:100] + "\n" + TABLE]
+    shapes += ["\r\n".join(TABLE.split("\n")), PROSE * 3 + "\n" + "\n".join(["@@ ## ~~ %% ^^ && ** ((" * 3] * 60)]
     found = {r.doc_id: r.text_type for r in quality.text_types(documents(spark, [*shapes, None, "", " "])).collect()}
-    assert [found[i] for i in range(1, len(shapes) + 1)] == ["prose"] * 30 + ["not_prose"] * 25 + ["prose"] * 3 + ["not_prose"]
+    want = ["prose"] * 30 + ["table"] * 10 + ["list"] * 10 + ["junk"] * 5 + ["prose"] * 3 + ["table"] * 2 + ["junk"]
+    assert [found[i] for i in range(1, len(shapes) + 1)] == want
     assert [found[len(shapes) + i] for i in (1, 2, 3)] == [None] * 3
 
 
+def test_lines_are_settled_alike_at_once_and_one_by_one():
+    from corvida.llm import lines
+
+    rng = random.Random(14)
+    pieces = [PROSE, TABLE, LIST, JUNK, "Name: ____", "Re: the house", "", "   ", "- lamp", "Dear Ann,", "1998 12 33 | 4", "the of and"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 9))) for _ in range(60)] + ["", "a"]
+    words = Words(texts, digits=False)
+    frequent = [words.word(i) in lines.FUNCTION_WORDS for i in range(len(words.starts))]
+    import numpy as np
+
+    got = lines.kind_sizes(texts, words, np.array(frequent))
+    for text, sizes in zip(texts, got, strict=True):
+        rows = text.split("\n")
+        kinds = []
+        for row in rows:
+            w = re.findall(r"[^\W\d_]+", row.lower())
+            many = len(w) >= 5 and "|" not in row and "\t" not in row and sum(x in lines.FUNCTION_WORDS for x in w) >= max(2, 0.2 * len(w))
+            kinds.append(lines.PROSE if many else lines.line_kind(row))
+        shown = [len("".join(r.split())) for r in rows]
+        want = [0] * 6
+        for k, n in zip(lines.settled(kinds, shown, rows), shown, strict=True):
+            want[k] += n
+        assert sizes.tolist() == want
+
+
 def test_posteriors_weigh_agreeing_functions():
     assert quality.learned_posteriors([]) == {}
-    p = quality.learned_posteriors([((1, 1, 1), 50), ((0, 0, 0), 400), ((1, 0, 1), 3), ((-1, 0, 0), 20)])
-    assert p[1, 1, 1] > 0.9 > 0.1 > p[0, 0, 0] and p[-1, 0, 0] < 0.1
+    none = (-1,) * 7
+    patterns = [
+        ((0, 0, 0, 0, 0, 0, 0), 400), ((2, 1, 1, 0, 0, 1, 1), 60), ((1, 1, 0, 1, 0, 0, 1), 40), ((3, 1, 0, 0, 1, 0, 1), 30),
+        ((-1, 1, 1, 0, 0, 1, 1), 5), ((2, 0, 0, 0, 0, 0, 0), 2), (none, 3),
+    ]
+    best = {v: max(range(4), key=p.__getitem__) for v, p in quality.learned_posteriors(patterns).items()}
+    assert [best[p] for p, _ in patterns[:5]] == [0, 2, 1, 3, 2]
+    # A single vote against six others that agree elsewhere is outvoted once their worth is learned, not before.
+    assert best[2, 0, 0, 0, 0, 0, 0] == 0
+    lone = (2, -1, 0, -1, -1, -1, -1)
+    shy = [((0, 0, 0, 0, 0, 0, 0), 900), (lone, 30), ((2, 1, 1, 0, 0, 1, 1), 2)]
+    begun, learned = (quality.learned_posteriors(shy, rounds=n)[lone] for n in (0, 200))
+    assert max(range(4), key=begun.__getitem__) == 2 and learned != begun
 
 
 def test_lengths(spark):
