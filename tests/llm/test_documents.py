@@ -376,6 +376,31 @@ def test_scan_noise(spark):
     assert "Page" not in fixed[21] and "COUNTY" not in fixed[21]
 
 
+def test_rare_words_with_contexts_of_their_own_stay(spark):
+    rng = random.Random(15)
+    said = {
+        "case": "in this case the judge ruled for the {x}", "ease": "they felt at ease with their {x}",
+        "hill": "the {x} stood upon the hill above town", "bill": "she paid the bill for a {x} yesterday",
+        "east": "the wind came from the east over the {x}", "cast": "the whole cast of the play saw a {x}",
+        "head": "he turned his head toward the {x}", "bead": "a glass bead hung beside a {x}",
+        "modern": "it was a modern house with a {x}", "modem": "the cable modem lost its {x}",
+    }
+    things = [prose(rng, 1, 60) for _ in range(50)]
+    texts = []
+    for common, rare in (("case", "ease"), ("hill", "bill"), ("east", "cast"), ("head", "bead"), ("modern", "modem")):
+        texts += [". ".join(said[common].format(x=rng.choice(things)) for _ in range(40)) for _ in range(20)]
+        texts += [". ".join(said[rare].format(x=rng.choice(things)) for _ in range(8)) for _ in range(10)]
+    bad = {"case": "casc", "hill": "hi11", "east": "ea5t", "head": "bcad", "modern": "modcm"}
+    texts += [said[w].format(x=rng.choice(things)).replace(w, b) for w, b in bad.items()]
+    found = {r.doc_id for r in scans.page_noise(documents(spark, texts)).collect() if r.noise == "misread_chars"}
+    assert found == {len(texts) - 4 + i for i in range(5)}
+
+
+def test_identifiers_lead_no_skeleton(spark):
+    texts = [PROSE + "Tail number N623XX landed. " * 3] * 20 + [PROSE + "Tail number N823XX landed."]
+    assert scans.page_noise(documents(spark, texts)).count() == 0
+
+
 def test_a_compound_at_its_own_hyphen_is_not_broken(spark):
     body = PROSE + "It was a hand-delivered note for him. "
     texts = [body] * 20 + [body.replace("hand-delivered", "hand-\ndelivered"), body.replace("nobody", "no-\nbody")]
