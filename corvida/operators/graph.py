@@ -21,7 +21,9 @@ def connected_components(edges: DataFrame, nodes: DataFrame | None = None, max_r
     )
     state = cut_lineage(kept.dropDuplicates())
     count = state.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds if count.n else 1):
+        if not count.n:
+            break
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
