@@ -29,7 +29,7 @@ DOROTHY: DOT DOTTIE DOLLY DOROTHEA
 EDWARD: ED EDDIE NED TED EDUARD
 ELIZABETH: LIZ BETH BETTY ELISABETH LIZZIE ELIZA LIBBY BETSY
 EMILY: EM EMMY
-FRANCES: FRAN FRANNIE FRANKIE
+FRANCES: FRAN FRANNIE FRANKIE FRANCIE
 FRANK: FRANKLIN
 FREDERICK: FRED FREDDY FREDDIE FREDERIC FREDRICK
 GEORGE: GEORGIE

@@ -1,13 +1,18 @@
 """Spellings of one person's name, linked by a pigeonhole segment join.
 
 A spelling is read into given name, initial and surname (titles, order, joined
-words, misread digits and short forms resolved). Distinct surnames are cut into
-k + 1 segments; a surname within k edits of another holds one of its segments
-unchanged at nearly the same place, so an inverted index of segments, probed with
-substrings at shifted places, gives all candidates; banded edit distance verifies
-them. Surnames joined so are one family of spellings; within it, persons are told
-apart by given name, and bare initials and ambiguous short forms go to the only
-person of the family they can stand for.
+words, misread digits and short forms resolved). Which words are given names is
+learned from the spellings: a word that leads several different last words, and
+leads more often than it comes last; words within one edit of such a word are
+typos of it. Distinct surnames are cut into k + 1 segments; a surname within k
+edits of another holds one of its segments unchanged at nearly the same place, so
+an inverted index of segments, probed with substrings at shifted places, gives all
+candidates; banded edit distance verifies them. Surnames of five letters and more
+that are joined so are one family of spellings; within it, persons are told apart by
+given name, and bare initials and ambiguous short forms go to the only person of the
+family they can stand for. Shorter surnames, which are close to many others by
+chance, and given names that are known from nowhere else are linked a person at a
+time: within one edit, the other part of the name being the same.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -26,10 +31,12 @@ from .names import TITLES, formal_names
 
 #: Spellings are linked within so many edits; a swap of two neighbouring letters is one.
 EDITS = 1
-#: A token is taken for a given name if it leads at least so many spellings, besides the fixed names.
-LEADING = 50
-#: At most so many learned given names are used; each needs LEADING spellings of its own.
-LEARNED = 5_000
+#: A word that leads so many different last words is a given name.
+LEADS = 3
+#: A word within one edit of a given name that leads so many times as often is a typo of it.
+TYPO_RATIO = 10
+#: Surnames of at least so many letters form families; shorter ones, of at least SHORT letters, are linked a person at a time.
+LONG, SHORT = 5, 3
 
 # Characters that stand for letters in misread names.
 GLYPHS = str.maketrans({"0": "O", "1": "I", "5": "S", "8": "B", "3": "E", "4": "A", "@": "A", "$": "S", "|": "I", "!": "I", "6": "G"})
@@ -62,39 +69,54 @@ def edits(a: str, b: str, most: int) -> int:
     return min(last[-1], most + 1)
 
 
+_TITLES = frozenset(plain(t) for t in TITLES)
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: Letters of a given name that is written together with its surname, and of the surname at least.
+JOINED = range(3, 15)
+JOINED_REST = 4
+
+
+def short_forms() -> dict[str, tuple[str, ...]]:
+    """Fixed given names and short forms with the given names they can stand for."""
+    out: dict[str, tuple[str, ...]] = {}
+    for k, v in formal_names().items():
+        out[plain(k)] = tuple(dict.fromkeys((*out.get(plain(k), ()), *(plain(x) for x in v))))
+    return out
+
+
+def words_of(name: str) -> tuple[list[str], bool]:
+    """The words of a name in the order given name, surname as far as a comma tells, titles off; and whether it does."""
+    head, comma, tail = plain(name).partition(",")
+    tokens = _WORD.findall(f"{tail} {head}" if comma else head)
+    while len(tokens) > 1 and tokens[0] in _TITLES and (len(tokens) > 2 or not comma):
+        tokens = tokens[1:]
+    if comma:
+        tokens = [t for t in tokens if t not in _TITLES] or tokens
+    return tokens, bool(comma)
+
+
+def pieces_of(name: str) -> set[str]:
+    """Parts of a name that may be given names: its words, or the beginnings and ends of a lone one."""
+    tokens, _ = words_of(name)
+    if len(tokens) != 1:
+        return set(tokens)
+    token = tokens[0]
+    sizes = [n for n in JOINED if n <= len(token) - JOINED_REST]
+    return {token[:n] for n in sizes} | {token[-n:] for n in sizes if n > 3}
+
+
 class Reader:
-    """Reads spellings; `learned` are given names besides the fixed ones."""
-
-    def __init__(self, learned: list[str] = ()):
-        self.formal: dict[str, tuple[str, ...]] = {}
-        for k, v in formal_names().items():
-            key = plain(k)
-            self.formal[key] = tuple(dict.fromkeys((*self.formal.get(key, ()), *(plain(x) for x in v))))
-        for n in learned:
-            self.formal.setdefault(n, (n,))
-        self.titles = {plain(t) for t in TITLES}
-        self.near: dict[str, tuple[str, ...]] = {}
+    """Reads spellings, given what their parts can stand for: sure given names, and others by a typo."""
+
+    def __init__(self, sure: dict[str, tuple[str, ...]], near: dict[str, tuple[str, ...]]):
+        self.sure, self.near = sure, near
 
     def given(self, token: str) -> tuple[str, ...]:
-        """Given names that a token can stand for, one edit allowed; () if none."""
-        if token in self.formal:
-            return self.formal[token]
-        if token not in self.near:
-            close = [g for g in self.formal if len(g) > 3 and abs(len(g) - len(token)) <= 1 and edits(token, g, 1) == 1] if len(token) > 3 else []
-            # the full form before short ones, since a typo of a short form is rarer
-            full = [g for g in close if self.formal[g][0] == g]
-            self.near[token] = tuple(dict.fromkeys(f for g in (full or close) for f in self.formal[g]))
-        return self.near[token]
+        return self.sure.get(token) or self.near.get(token, ())
 
     def read(self, name: str | None) -> tuple[list[str], str, str] | None:
         """(possible given names, initial, surname), or None if no surname can be told."""
-        text = plain(name or "")
-        head, comma, tail = text.partition(",")
-        tokens = re.findall(r"[^\W\d_]+(?:['’-][^\W\d_]+)*", f"{tail} {head}" if comma else text)
-        while len(tokens) > 1 and tokens[0] in self.titles and (len(tokens) > 2 or tokens[0] not in self.formal):
-            tokens = tokens[1:]
-        if comma:
-            tokens = [t for t in tokens if t not in self.titles] or tokens
+        tokens, comma = words_of(name or "")
         if not tokens:
             return None
         if len(tokens) == 1:
@@ -111,25 +133,65 @@ class Reader:
     def _swapped(self, tokens: list[str]) -> bool:
         """Whether the surname stands first although there is no comma."""
         first, last = tokens[0], tokens[-1]
-        if last in self.formal:
-            return first not in self.formal and len(first) > 1
+        if last in self.sure:
+            return first not in self.sure and len(first) > 1
         return not self.given(first) and len(first) > 1 and (len(last) == 1 or bool(self.given(last)))
 
     def _joined(self, token: str) -> tuple[list[str], str, str] | None:
         """A given name and surname without a space."""
-        for size in range(min(len(token) - 4, 14), 2, -1):
-            if token[:size] in self.formal:
-                return list(self.formal[token[:size]]), "", token[size:]
-        for size in range(min(len(token) - 4, 14), 3, -1):
-            if token[-size:] in self.formal:
-                return list(self.formal[token[-size:]]), "", token[:-size]
+        for size in reversed(JOINED):
+            if size <= len(token) - JOINED_REST and token[:size] in self.sure:
+                return list(self.sure[token[:size]]), "", token[size:]
+        for size in reversed(JOINED):
+            if 3 < size <= len(token) - JOINED_REST and token[-size:] in self.sure:
+                return list(self.sure[token[-size:]]), "", token[:-size]
         return None
 
 
-def _read(batches: Iterator[pa.RecordBatch], learned: list[str]) -> Iterator[pa.RecordBatch]:
-    reader = Reader(learned)
+def _leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(first, last) word of each name of two words or more with a letter more than one."""
     for batch in batches:
-        rows = [(n, *r) for n in batch.column("name").to_pylist() if (r := reader.read(n))]
+        rows = []
+        for name in batch.column("name").to_pylist():
+            tokens, _ = words_of(name)
+            if len(tokens) > 1 and len(tokens[0]) > 2 and len(tokens[-1]) > 2:
+                rows.append((tokens[0], tokens[-1]))
+        columns = list(zip(*rows, strict=True)) or [(), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["first", "last"])
+
+
+def given_names(distinct: DataFrame) -> DataFrame:
+    """(token, formal): given names that the spellings teach, and the fixed short forms with what they stand for."""
+    pairs = cut_lineage(distinct.mapInArrow(_leading, "first string, last string"))
+    leads = pairs.groupBy("first").agg(F.countDistinct("last").alias("lasts"), F.count(F.lit(1)).alias("n_first")).filter(F.col("lasts") >= LEADS)
+    trails = pairs.groupBy("last").agg(F.count(F.lit(1)).alias("n_last"))
+    learned = leads.join(trails, leads["first"] == trails["last"], "left").filter(F.coalesce("n_last", F.lit(0)) < F.col("n_first"))
+    fixed = distinct.sparkSession.createDataFrame([(k, list(v)) for k, v in short_forms().items()], "token string, formal array<string>")
+    counts = cut_lineage(learned.select(F.col("first").alias("token"), "n_first").filter("length(token) > 2"))
+    close = segment_join(counts.select(F.col("token").alias("surname")))
+    sides = close.select("a", "b").union(close.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    often = counts.select(F.col("token").alias("b"), F.col("n_first").alias("n"))
+    typos = sides.join(often, "b").join(counts.withColumnRenamed("token", "a"), "a").filter(F.col("n") >= TYPO_RATIO * F.col("n_first"))
+    taught = counts.join(typos.select(F.col("a").alias("token")), "token", "left_anti").select("token", F.array("token").alias("formal"))
+    return cut_lineage(fixed.unionByName(taught.join(F.broadcast(fixed.select("token")), "token", "left_anti")))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(n, p, len(words_of(n)[0]) > 1) for n in batch.column("name").to_pylist() for p in sorted(pieces_of(n))]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["name", "token", "word"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for name, parts in zip(batch.column("name").to_pylist(), batch.column("parts").to_pylist(), strict=True):
+            sure = {p["token"]: tuple(p["formal"]) for p in parts or () if p["sure"]}
+            near = {p["token"]: tuple(p["formal"]) for p in parts or () if not p["sure"]}
+            known = Reader(sure, near).read(name)
+            if known:
+                rows.append((name, *known))
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         types = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string()]
         yield pa.RecordBatch.from_arrays(
@@ -137,6 +199,31 @@ def _read(batches: Iterator[pa.RecordBatch], learned: list[str]) -> Iterator[pa.
         )
 
 
+def read_names(distinct: DataFrame, given: DataFrame) -> DataFrame:
+    """(name, givens, initial, surname) of each spelling whose surname can be told.
+
+    The parts of the spellings look up the given names in a join, so their number is
+    not bounded; typos of given names of four letters and more are found by the
+    segment join, full names before short forms.
+    """
+    pieces = cut_lineage(distinct.mapInArrow(_pieces, "name string, token string, word boolean"))
+    unknown = pieces.filter("word AND length(token) > 3").select("token").dropDuplicates().join(given.select("token"), "token", "left_anti")
+    long_given = given.filter("length(token) > 3").select("token", "formal", F.array_contains("formal", F.col("token")).alias("full"))
+    pairs = segment_join(unknown.select(F.col("token").alias("surname")).union(long_given.select("token")))
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    close = both.join(unknown.withColumnRenamed("token", "a"), "a", "left_semi").join(long_given.withColumnRenamed("token", "b"), "b")
+    # the full form before short ones, since a typo of a short form is rarer
+    near = close.groupBy("a").agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("full"), F.col("formal")))))).alias("by_full"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("formal")))).alias("by_any"),
+    )
+    typos = near.select(F.col("a").alias("token"), F.when(F.size("by_full") > 0, F.col("by_full")).otherwise(F.col("by_any")).alias("formal"), F.lit(False).alias("sure"))
+    known = cut_lineage(given.select("token", "formal", F.lit(True).alias("sure")).unionByName(typos))
+    parts = pieces.join(known, "token").groupBy("name").agg(F.collect_list(F.struct("token", "formal", "sure")).alias("parts"))
+    told = distinct.join(parts, "name", "left")
+    return cut_lineage(told.mapInArrow(_read, "name string, givens array<string>, initial string, surname string"))
+
+
 def segments(name: str, k: int) -> list[tuple[int, int, int, str]]:
     """(number, start, length of the whole, text) of the k + 1 segments of a name."""
     n, parts = len(name), k + 1
@@ -211,11 +298,11 @@ def name_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
     stand alone. Relatives with one surname and different given names stay apart.
     """
     distinct = names.select(F.col(name_col).alias("name")).filter("name IS NOT NULL AND trim(name) <> ''").dropDuplicates()
-    learned = _learned(distinct)
-    read = cut_lineage(
-        distinct.mapInArrow(lambda b: _read(b, learned), "name string, givens array<string>, initial string, surname string")
-    )
-    close = segment_join(read).filter("least(length(a), length(b)) >= 5")
+    distinct = cut_lineage(distinct)
+    given = given_names(distinct)
+    read = read_names(distinct, given)
+    every = cut_lineage(segment_join(read).select("a", "b", F.least(F.length("a"), F.length("b")).alias("letters")))
+    close = every.filter(F.col("letters") >= LONG)
     surnames = read.select("surname").dropDuplicates()
     family = connected_components(
         close.select(F.col("a").alias("src"), F.col("b").alias("dst")), surnames.select(F.col("surname").alias("id"))
@@ -247,15 +334,39 @@ def name_variants(names: DataFrame, name_col: str = "name") -> DataFrame:
         everyone.withColumn("initial", F.substring("given", 1, 1)), ["family", "initial"], "left_anti"
     )
     placed = full.unionByName(initials).unionByName(bare.select("name", "family", F.concat("initial", F.lit(".")).alias("given")))
-    return placed.select("name", F.concat_ws(" ", "given", F.col("family").cast("string")).alias("person"))
+    placed = cut_lineage(placed.select("name", "given", "family"))
+    joined = _person_links(placed.select("given", "family").dropDuplicates(), known, every.filter(F.col("letters").between(SHORT, LONG - 1)), given)
+    persons = placed.select("name", _person("given", "family").alias("person"))
+    return persons.join(joined.select(F.col("id").alias("person"), "component"), "person", "left").select("name", F.coalesce("component", "person").alias("person"))
+
+
+def _person(given: str, family: str) -> Column:
+    return F.concat_ws(" ", given, F.col(family).cast("string"))
 
 
-def _learned(distinct: DataFrame) -> list[str]:
-    """Leading tokens of many spellings; a bounded number of words, however many names there are."""
-    lead = F.regexp_extract(F.upper("name"), r"^\s*(\p{Lu}{4,})\s+\p{L}{4,}\s*$", 1)
-    counts = distinct.select(lead.alias("token")).filter("token <> ''").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.filter(F.col("n") >= LEADING).orderBy(F.desc("n"), "token").limit(LEARNED)
-    return sorted(plain(r.token) for r in ranked.collect())
+def _person_links(persons: DataFrame, known: DataFrame, short: DataFrame, given: DataFrame) -> DataFrame:
+    """(id, component) of persons who are linked one by one.
+
+    Two persons of one full given name whose short surnames are within one edit, and
+    two of one family whose given names are, if one of these is known from nowhere else.
+    """
+    persons = cut_lineage(persons)
+    full = persons.filter("length(given) > 2")
+    families = known.select("surname", "family").dropDuplicates()
+    apart = short.join(families.select(F.col("surname").alias("a"), F.col("family").alias("x")), "a").join(
+        families.select(F.col("surname").alias("b"), F.col("family").alias("y")), "b"
+    ).filter("x <> y").select("x", "y").dropDuplicates()
+    one_name = apart.join(full.select("given", F.col("family").alias("x")), "x").join(full.select("given", F.col("family").alias("y")), ["given", "y"])
+    unknown = full.filter("length(given) > 3").select("given").dropDuplicates().join(given.select(F.col("token").alias("given")), "given", "left_anti")
+    typos = segment_join(full.filter("length(given) > 3").select(F.col("given").alias("surname"))).select("a", "b")
+    loose = typos.join(unknown.withColumnRenamed("given", "a"), "a", "left_semi").union(
+        typos.join(unknown.withColumnRenamed("given", "b"), "b", "left_semi").select("a", "b")
+    ).dropDuplicates()
+    one_family = loose.join(full.select(F.col("given").alias("a"), "family"), "a").join(full.select(F.col("given").alias("b"), "family"), ["b", "family"])
+    links = one_name.select(_person("given", "x").alias("src"), _person("given", "y").alias("dst")).unionByName(
+        one_family.select(_person("a", "family").alias("src"), _person("b", "family").alias("dst"))
+    )
+    return connected_components(links)
 
 
 def variant_pairs(names: DataFrame, name_col: str = "name") -> DataFrame:

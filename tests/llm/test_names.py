@@ -132,3 +132,20 @@ def test_name_variants(spark):
 def test_an_initial_that_fits_two_persons_stands_alone(spark):
     frame = spark.createDataFrame([("NICHOLAS QUANDBOMISHLOW",), ("NADIA QUANDBOMISHLOW",), ("N. QUANDBOMISHLOW",)], "name string")
     assert variants.variant_pairs(frame).count() == 0
+
+
+def test_short_surnames_and_unlisted_given_names(spark):
+    groups = [["JOHN REED", "JOHN READ"], ["MARY KENT", "MARY KNET"], ["OSWALDO PEREIRA", "OSWLDO PEREIRA", "Pereira, Oswaldo"]]
+    others = ["MARY REED", "ANNA KETN", "JOHN LEE", "MARY LEA", "MARTHA PEREIRA", "MARTIN PEREIRA"]
+    frame = spark.createDataFrame([(n,) for g in [*groups, others] for n in g], "name string")
+    found = {(r.name_a, r.name_b) for r in variants.variant_pairs(frame).collect()}
+    assert found == {(min(a, b), max(a, b)) for g in groups for a in g for b in g if a != b}
+
+
+def test_given_names_are_learned_from_what_they_lead(spark):
+    names = [f"THANDIWE {x}" for x in ("NKOSIBANA", "MOLEFETSAI", "DLAMINITHA")] + ["MOLEFETSAI THANDIWE", "THANDIWEDLAMINITHA", "NKOSIBANA THNADIWE", "THANDIWE NKOSBANA"]
+    found = {(r.name_a, r.name_b) for r in variants.variant_pairs(spark.createDataFrame([(n,) for n in names], "name string")).collect()}
+    assert found == {tuple(sorted(p)) for p in (
+        ("THANDIWE MOLEFETSAI", "MOLEFETSAI THANDIWE"), ("THANDIWE DLAMINITHA", "THANDIWEDLAMINITHA"), ("THANDIWE NKOSIBANA", "NKOSIBANA THNADIWE"),
+        ("THANDIWE NKOSIBANA", "THANDIWE NKOSBANA"), ("NKOSIBANA THNADIWE", "THANDIWE NKOSBANA"),
+    )}
