@@ -77,6 +77,14 @@ CASES = [
     ("It was I. Thostvaniahurst who came", {"person_name"}),
     ("Quillon Press and Hollin County Sheriff in Cape Sorrow", set()),
     ("Q. I will mark it. A. The flight left in May.", set()),
+    ("Oswaldo Pereira called Thandiwe Nkosi", {"person_name"}),
+    ("IBAN GB82 WEST 1234 5698 7654 32 was used, DE89370400440532013000 too", {"account_number"}),
+    ("GB82 WEST 1234 5698 7654 33 and 4111 1111 1111 1112 fail their check", set()),
+    ("card 4111 1111 1111 1111, Account number 00123456789", {"account_number"}),
+    ("write jane%40host.example", {"email"}),
+    ("see https://user:pw@host.example/x for it", {"credentials"}),
+    ("call 020 7946 0958 for it", {"phone"}),
+    ("000-12-3456 and SSN 666-12-3456 are no numbers", set()),
     ("", set()),
 ]
 
@@ -88,6 +96,8 @@ def test_personal_information(text, kinds):
 
 def test_redaction_keeps_the_rest():
     assert personal.redact("Ask Keiko Whandfoinmere at k@x.example now.") == "Ask [PERSON_NAME] at [EMAIL] now."
+    assert personal.redact("at https://user:pw@host.example/x now") == "at https://[CREDENTIALS]@host.example/x now"
+    assert personal.redact("Oswaldo Pereira called Thandiwe Nkosi.") == "[PERSON_NAME] called [PERSON_NAME]."
     assert personal.redact(None) is None and personal.redact("") == ""
     long = "nothing here, " * 20_000
     assert personal.redact(long) == long
@@ -102,6 +112,20 @@ def test_personal_rows(spark):
     assert personal.personal_information(frame.filter("quote_id < 0"), "quote_id", ["quote"]).count() == 0
 
 
+def test_given_names_of_a_column_are_known_in_texts(spark, monkeypatch):
+    rows = [(i, f"ZANELE {x}", "It was Zanele Mkhizebana by the lake") for i, x in enumerate(("MKHIZEBANA", "DUBETHANI", "NGCOBOLA"))]
+    rows += [(9, "THE WITNESS", "It was Blue Heron by the lake"), (10, "THE COURT", None), (11, "THE DEPONENT", "")]
+    frame = spark.createDataFrame(rows, "quote_id long, speaker string, quote string")
+    want = [(i, "quote", "person_name") for i in range(3)]
+    for most in (100_000, 0):  # names in every task, then looked up by a join
+        monkeypatch.setattr(personal, "BROADCAST_NAMES", most)
+        found = personal.personal_information(frame, "quote_id", ["quote"], ["speaker"])
+        assert sorted(map(tuple, found.collect())) == want
+        fixed = {r.quote_id: r.quote for r in personal.redacted(frame, ["quote"], ["speaker"]).collect()}
+        assert fixed[0] == "It was [PERSON_NAME] by the lake" and fixed[9] == rows[3][2] and fixed[10] is None
+    assert personal.personal_information(frame, "quote_id", ["quote"]).count() == 0
+
+
 def test_segment_join_equals_brute_force(spark):
     rng = random.Random(2)
     words = {"".join(rng.choice("abcd") for _ in range(rng.randint(4, 9))) for _ in range(300)}
