@@ -67,12 +67,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write df once to the shared checkpoint folder and read it from there.
 
-    The folder named in spark.checkpoint.dir is used; only where the session has
-    none, as in tests, a folder of the test machine is set.
+    The folder named in spark.checkpoint.dir is used. A session on one machine that
+    names none, as in tests, gets a folder of that machine; on a cluster, whose
+    executors don't share one, that is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvida-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="corvida-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
