@@ -1,4 +1,4 @@
-"""Name variants by the reference rules: scored matches, greedy groups, and their use."""
+"""Name variants by scored matches of given names and surnames, greedy groups of them, and their use."""
 
 from __future__ import annotations
 
@@ -47,7 +47,7 @@ NICKNAMES = {
     "ALEXANDRA": ("ALEX", "SANDY", "ALEXA"),
 }
 _FORMAL = {short: name for name, shorts in NICKNAMES.items() for short in shorts}
-#: A block's names are compared by one task up to so many; larger blocks are dealt out by row.
+#: Given names at least so similar match under one surname.
 FUZZY_FIRST = 80
 
 

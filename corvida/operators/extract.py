@@ -92,77 +92,109 @@ def parsed_date(c: Column) -> Column:
 
 
 def date_mentions(docs: DataFrame, around: int = 100, longest: int = 200) -> DataFrame:
-    """(doc_id, original, parsed, year, month, is_partial, context) of dates from 1970 to 2025."""
-    found = date_strings(docs).withColumn("parsed", parsed_date(F.col("original")))
-    kept = found.filter(F.year("parsed").between(MIN_YEAR, MAX_YEAR))
-    with_text = kept.join(docs.select("doc_id", "text"), "doc_id")
-    at = F.position(F.col("original"), F.col("text"))
-    start = F.greatest(at - around, F.lit(1))
-    end = F.least(at + F.length("original") + around, F.length("text") + 1)
-    context = F.substring(collapse(F.substring("text", start, end - start)), 1, longest)
+    """(doc_id, original, parsed, year, month, is_partial, context) of dates from 1970 to 2025.
+
+    The context is cut in the row that holds the text, so no text is shuffled; the
+    rows of one doc_id give each date string once a row.
+    """
+    strings = F.array_distinct(F.concat(*[every(F.col("text"), f"(?i){p}", 1) for p in DATE_PATTERNS]))
+
+    def with_context(original: Column) -> Column:
+        at = F.position(original, F.col("text"))
+        start = F.greatest(at - around, F.lit(1))
+        end = F.least(at + F.length(original) + around, F.length("text") + 1)
+        return F.struct(original.alias("original"), F.substring(collapse(F.substring("text", start, end - start)), 1, longest).alias("context"))
+
+    # the strings are a column of their own, so that the patterns run once a row
+    found = docs.filter("text IS NOT NULL").select("doc_id", "text", strings.alias("strings")).filter("size(strings) > 0")
+    each = found.select("doc_id", F.explode(F.transform("strings", with_context)).alias("m")).select("doc_id", "m.original", "m.context")
+    kept = each.withColumn("parsed", parsed_date(F.col("original"))).filter(F.year("parsed").between(MIN_YEAR, MAX_YEAR))
     partial = ~F.regexp_replace("original", r"\d{4}", "").rlike(r"\d")
-    return with_text.select(
+    return kept.select(
         "doc_id", "original", F.date_format("parsed", "yyyy-MM-dd").alias("parsed"), F.year("parsed").alias("year"),
-        F.month("parsed").alias("month"), partial.alias("is_partial"), context.alias("context"),
+        F.month("parsed").alias("month"), partial.alias("is_partial"), "context",
     )
 
 
-def _pieces(docs: DataFrame, pattern: str, groups: dict[str, int]) -> DataFrame:
-    arrays = F.arrays_zip(*[every(F.col("text"), pattern, g).alias(n) for n, g in groups.items()])
-    found = docs.filter("text IS NOT NULL").select("doc_id", F.posexplode(arrays).alias("position", "m"))
-    return found.select("doc_id", "position", *[F.col(f"m.{n}").alias(n) for n in groups])
+def _matches(pattern: str, *groups: int) -> Column:
+    """Array of the matches' groups, as structs with fields named by number."""
+    return F.arrays_zip(*[every(F.col("text"), pattern, g).alias(f"g{g}") for g in groups])
 
 
-def _quotes(rows: DataFrame, kind: str, speaker: Column, quote: Column, context: Column, question: Column | None = None, answer: Column | None = None) -> DataFrame:
+def _quote(kind: str, position: Column, speaker: Column, quote: Column, context: Column, question: Column | None = None, answer: Column | None = None) -> Column:
     none = F.lit(None).cast("string")
-    return rows.select(
-        "doc_id", "position", F.lit(kind).alias("quote_type"), speaker.alias("speaker"), (none if question is None else question).alias("question"),
+    return F.struct(
+        position.alias("position"), F.lit(kind).alias("quote_type"), speaker.alias("speaker"), (none if question is None else question).alias("question"),
         (none if answer is None else answer).alias("answer"), quote.alias("quote"), context.alias("context"),
-    ).filter(F.length("quote") >= 20)
+    )
+
+
+def _qa(m: Column, i: Column) -> Column:
+    q, a = clean_quote(m["g1"]), clean_quote(m["g2"])
+    return _quote("deposition_qa", i, F.lit("THE WITNESS"), a, F.concat(F.lit("Q: "), F.substring(q, 1, 100), F.lit("...")), q, a)
+
+
+def _said(m: Column, i: Column) -> Column:
+    return _quote("said_attribution", i, F.upper(F.trim(m["g1"])), clean_quote(m["g2"]), F.substring(m["g0"], 1, 200))
+
+
+def _according(m: Column, i: Column) -> Column:
+    return _quote("according_to", i, F.upper(F.trim(m["g1"])), clean_quote(m["g2"]), F.substring(m["g0"], 1, 200))
+
+
+def _witness(m: Column, i: Column) -> Column:
+    named = F.when(m["g1"] != "", F.concat(F.lit("THE WITNESS ("), F.trim(collapse(m["g1"])), F.lit(")"))).otherwise("THE WITNESS")
+    return _quote("witness_statement", i, named, clean_quote(m["g2"]), F.substring(m["g0"], 1, 200))
+
+
+def _attorney(m: Column, i: Column) -> Column:
+    return _quote("attorney_question", i, F.concat_ws(" ", m["g1"], F.trim(m["g2"])), clean_quote(m["g3"]), F.substring(m["g0"], 1, 200))
+
+
+_KINDS = {
+    "deposition_qa": (QA_PATTERN, (1, 2), _qa), "said_attribution": (SAID_PATTERN, (0, 1, 2), _said), "according_to": (ACCORDING_PATTERN, (0, 1, 2), _according),
+    "witness_statement": (WITNESS_PATTERN, (0, 1, 2), _witness), "attorney_question": (ATTORNEY_PATTERN, (0, 1, 2, 3), _attorney),
+}
+
+
+def quotes_of(docs: DataFrame, *kinds: str) -> DataFrame:
+    """(doc_id, position, quote_type, speaker, question, answer, quote, context) of the kinds, in one scan of the texts.
+
+    Quotes and questions of under 20 characters are left out; null texts hold none.
+    """
+    found = docs.filter("text IS NOT NULL").select("doc_id", *[_matches(_KINDS[k][0], *_KINDS[k][1]).alias(k) for k in kinds])
+    rows = found.select("doc_id", F.explode(F.concat(*[F.transform(k, _KINDS[k][2]) for k in kinds])).alias("q")).select("doc_id", "q.*")
+    return rows.filter((F.length("quote") >= 20) & (F.col("question").isNull() | (F.length("question") >= 20)))
 
 
 def deposition_qa(docs: DataFrame) -> DataFrame:
     """Questions and answers; the answer is the quote, the speaker THE WITNESS."""
-    rows = _pieces(docs, QA_PATTERN, {"q": 1, "a": 2})
-    q, a = clean_quote(F.col("q")), clean_quote(F.col("a"))
-    context = F.concat(F.lit("Q: "), F.substring(q, 1, 100), F.lit("..."))
-    return _quotes(rows, "deposition_qa", F.lit("THE WITNESS"), a, context, q, a).filter(F.length("question") >= 20)
+    return quotes_of(docs, "deposition_qa")
 
 
 def said_quotes(docs: DataFrame) -> DataFrame:
     """NAME, a verb of speech, and a quote."""
-    rows = _pieces(docs, SAID_PATTERN, {"all": 0, "s": 1, "q": 2})
-    return _quotes(rows, "said_attribution", F.upper(F.trim("s")), clean_quote(F.col("q")), F.substring("all", 1, 200))
+    return quotes_of(docs, "said_attribution")
 
 
 def according_to(docs: DataFrame) -> DataFrame:
     """According to NAME, a statement."""
-    rows = _pieces(docs, ACCORDING_PATTERN, {"all": 0, "s": 1, "q": 2})
-    return _quotes(rows, "according_to", F.upper(F.trim("s")), clean_quote(F.col("q")), F.substring("all", 1, 200))
+    return quotes_of(docs, "according_to")
 
 
 def witness_statements(docs: DataFrame) -> DataFrame:
     """Statements after THE WITNESS or a title, with the name where one stands."""
-    rows = _pieces(docs, WITNESS_PATTERN, {"all": 0, "s": 1, "q": 2})
-    named = F.when(F.col("s") != "", F.concat(F.lit("THE WITNESS ("), F.trim(collapse(F.col("s"))), F.lit(")"))).otherwise("THE WITNESS")
-    return _quotes(rows, "witness_statement", named, clean_quote(F.col("q")), F.substring("all", 1, 200))
+    return quotes_of(docs, "witness_statement")
 
 
 def attorney_questions(docs: DataFrame) -> DataFrame:
     """Questions under BY and a name."""
-    rows = _pieces(docs, ATTORNEY_PATTERN, {"all": 0, "t": 1, "s": 2, "q": 3})
-    speaker = F.concat_ws(" ", "t", F.trim("s"))
-    return _quotes(rows, "attorney_question", speaker, clean_quote(F.col("q")), F.substring("all", 1, 200))
+    return quotes_of(docs, "attorney_question")
 
 
 def all_quotes(docs: DataFrame, min_length: int = 30) -> DataFrame:
     """The five kinds together; a passage may yield several."""
-    kinds = (deposition_qa, said_quotes, according_to, witness_statements, attorney_questions)
-    found = [k(docs) for k in kinds]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.filter(F.length("quote") >= min_length)
+    return quotes_of(docs, *_KINDS).filter(F.length("quote") >= min_length)
 
 
 def page_links(pages: DataFrame, ending: str = ".pdf") -> DataFrame:

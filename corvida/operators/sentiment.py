@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .wordstats import folder_of
+from .wordstats import folder_of, running_sums
 
 MAX_CHUNKS, CHUNK_WORDS = 100, 1000
 Scorer = Callable[[str], tuple[float, float, float, float]]
@@ -68,17 +68,19 @@ def folder_chunks(docs: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
     """(folder, chunk, words): the chunks of each folder's joined text, without joining it.
 
     At most so many, evenly stepped; with None all words, chunk after chunk, the last one as long as it is.
-    Words get their place in the folder from running word counts of its documents;
-    each document then gives the words that fall into a chunk, so no task holds a
-    folder's whole text.
+    Words get their place in the folder from running word counts of its documents,
+    taken over (folder, path, doc_id, size) without the texts: within ranges of the
+    order, and over the ranges' sums, so that a folder of any size is spread over
+    tasks. Each document then gives the words that fall into a chunk. Rows of one
+    doc_id and path count once.
     """
-    from pyspark.sql import Window as W
-
     held = docs.filter("text IS NOT NULL AND text <> ''").select("doc_id", "file_path", folder_of(F.col("file_path")).alias("folder"), F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
     held = held.filter("w[0] <> ''")
-    order = W.partitionBy("folder").orderBy("file_path", "doc_id")
-    placed = held.withColumn("before", F.coalesce(F.sum(F.size("w")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    total = held.groupBy("folder").agg(F.sum(F.size("w")).alias("total"))
+    sizes = held.groupBy("folder", "file_path", "doc_id").agg(F.max(F.size("w")).alias("size"))
+    before = running_sums(sizes, ["folder"], ["file_path", "doc_id"], "size").drop("size").withColumnRenamed("before", "before_doc")
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("folder", "file_path", "doc_id")]
+    placed = held.alias("h").join(before.alias("b"), same[0] & same[1] & same[2]).select("h.*", F.col("before_doc").alias("before"))
+    total = sizes.groupBy("folder").agg(F.sum("size").alias("total"))
     if most is None:
         chunks, step = F.ceil(F.col("total") / CHUNK_WORDS), F.lit(CHUNK_WORDS)
     else:
@@ -97,7 +99,7 @@ def folder_chunks(docs: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
     # Parts are cut before they become rows, so a long text's words aren't repeated for each chunk.
     each = known.filter(first <= last).select("folder", "before", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), within)).alias("c"))
     part = each.select("folder", "c.chunk", "before", "c.part").filter(F.size("part") > 0)
-    return part.groupBy("folder", "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("before", "part"))), lambda s: s["part"])).alias("words"))
+    return part.groupBy("folder", "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("before", "part"))), lambda s: s["part"])).alias("words"))
 
 
 def folder_sentiment(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:

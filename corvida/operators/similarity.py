@@ -13,6 +13,10 @@ from ..session import cut_lineage
 from .graph import connected_components
 
 
+#: Rows of a block that are multiplied at once.
+TILE = 1_024
+
+
 def similar_pairs(weights: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(doc_a, doc_b, similarity) of unit rows (doc_id, term, w), by prefix filtering.
 
@@ -42,12 +46,13 @@ def similar_pairs(weights: DataFrame, threshold: float = 0.8) -> DataFrame:
     return product.filter(F.col("s") >= threshold).select("doc_a", "doc_b", F.round("s", 6).alias("similarity"))
 
 
-def embedding_pairs(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", blocks: int = 8) -> DataFrame:
+def embedding_pairs(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", block_rows: int = 8_192) -> DataFrame:
     """(vec_a, vec_b, similarity) of all pairs within a cosine threshold, exactly.
 
-    Rows are dealt into blocks; each pair of blocks is one task that multiplies two
-    matrices. The number of blocks is chosen so that a block fits a task.
+    Rows are dealt into blocks of about block_rows; each pair of blocks is one task
+    that multiplies two matrices, TILE rows at a time. Null vectors take no part.
     """
+    blocks = max(1, -(-vectors.filter(F.col(vec_col).isNotNull()).count() // block_rows))
     spread = vectors.filter(F.col(vec_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("own")
     )
@@ -65,11 +70,14 @@ def embedding_pairs(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         for f in (left, right):
             m = np.stack(f.v.to_numpy()).astype(np.float64)
             unit.append(m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))
-        s = unit[0] @ unit[1].T
-        x, y = np.nonzero(s >= threshold)
-        a, b = left.id.to_numpy()[x], right.id.to_numpy()[y]
-        keep = (a < b) if i == j else np.ones(len(a), bool)
-        return pd.DataFrame({"vec_a": np.minimum(a, b)[keep], "vec_b": np.maximum(a, b)[keep], "similarity": s[x, y][keep]})
+        found = [out]
+        for start in range(0, len(left), TILE):
+            s = unit[0][start : start + TILE] @ unit[1].T
+            x, y = np.nonzero(s >= threshold)
+            a, b = left.id.to_numpy()[start + x], right.id.to_numpy()[y]
+            keep = (a < b) if i == j else np.ones(len(a), bool)
+            found.append(pd.DataFrame({"vec_a": np.minimum(a, b)[keep], "vec_b": np.maximum(a, b)[keep], "similarity": s[x, y][keep]}))
+        return pd.concat(found)
 
     return paired.groupBy("i", "j").applyInPandas(multiply, "vec_a long, vec_b long, similarity double").dropDuplicates(["vec_a", "vec_b"])
 
