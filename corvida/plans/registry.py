@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import entity_queries, graph_queries, more_queries, text_queries
+from . import entity_queries, file_queries, graph_queries, more_queries, text_queries
 
-MODULES = (entity_queries, text_queries, graph_queries, more_queries)
+MODULES = (entity_queries, text_queries, graph_queries, more_queries, file_queries)
 
 
 def queries() -> dict:

@@ -6,10 +6,13 @@ DataFrame of that schema.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import both_ways
+from .sinks import PAGE_BUCKETS
 
 EDGE_SCHEMA = "`from` string, `to` string, weight int"
 NODE_SCHEMA = "name string, appearances int"
@@ -32,8 +35,8 @@ def text_files(spark: SparkSession, base: str, pattern: str = "*.txt", recursive
     """(path, folder, filename, size, text) of the files under base that match the pattern; path is relative to base."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
     rows = reader.load(base)
-    root = F.lit(base.rstrip("/").split("://", 1)[-1].lstrip("/"))
-    full = F.regexp_replace("path", r"^[a-z]+:/+", "")
+    root = F.lit(re.sub(r"^[a-z0-9]+:/+", "", base).strip("/"))
+    full = F.regexp_replace("path", r"^[a-z0-9]+:/+", "")
     path = F.ltrim(F.substr(full, F.position(root, full) + F.length(root)), F.lit("/"))
     parent = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
     return rows.select(
@@ -42,6 +45,11 @@ def text_files(spark: SparkSession, base: str, pattern: str = "*.txt", recursive
     )
 
 
+def directory_files(spark: SparkSession, base: str) -> DataFrame:
+    """(folder, filename, size, text) of the text files of each directory, whichever case all letters of the ending have."""
+    return text_files(spark, base, "*.{txt,TXT}").select("folder", "filename", "size", "text")
+
+
 def documents(files: DataFrame, min_chars: int = 50, stripped: bool = True, max_chars: int | None = None, first: int | None = None) -> DataFrame:
     """Files as documents: the first n paths, then a minimum length, then truncation."""
     rows = files if first is None else files.orderBy("path").limit(first)
@@ -59,6 +67,18 @@ def person_map(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("path", F.explode("persons").alias("person"))
 
 
+def person_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(path, person) from a folder with a JSON object a line, as a map is written in parallel."""
+    return _mapped_lines(spark, path, "path", "person")
+
+
+def _mapped_lines(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    if not exists(spark, path):
+        return spark.createDataFrame([], f"{key} string, {value} string")
+    parsed = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, array<string>>")).alias(key, "held"))
+    return parsed.select(key, F.explode("held").alias(value))
+
+
 def location_map(spark: SparkSession, path: str) -> DataFrame:
     """(path, subtype, location) from a JSON object of objects with GPE, LOC and FAC arrays."""
     if not exists(spark, path):
@@ -118,9 +138,28 @@ def alias_maps(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
-    """Profiles from a JSON array of objects: name, total_mentions, documents."""
+    """Profiles from a JSON array of objects: name, total_mentions, documents; of one name the last entry holds."""
     schema = "name string, total_mentions long, documents array<string>"
-    return spark.read.schema(schema).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "array<struct<name: string, total_mentions: bigint, documents: array<string>>>").alias("a"))
+    entries = whole.select(F.posexplode("a").alias("place", "p"))
+    return entries.groupBy("p.name").agg(F.max_by("p", "place").alias("p")).select("p.*")
+
+
+def person_index(spark: SparkSession, path: str) -> DataFrame:
+    """(name, mentions, aliases) from a JSON index."""
+    schema = "name string, mentions long, aliases array<string>"
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def person_page(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """One person's page: only the bucket of the name is read."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    pages = spark.read.schema(f"{schema}, bucket int").json(path)
+    own = F.pmod(F.xxhash64(F.lit(name)), F.lit(PAGE_BUCKETS)).cast("int")
+    return pages.filter((F.col("bucket") == own) & (F.col("name") == name)).drop("bucket")
 
 
 def quotes(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +181,11 @@ def saved_urls(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("section", "urls")).select("section", F.explode("urls").alias("url")).distinct()
 
 
+def saved_url_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(section, url) from a folder with a JSON object a line, each URL once a section."""
+    return _mapped_lines(spark, path, "section", "url").distinct()
+
+
 def pdf_texts(spark: SparkSession, base: str, to_text) -> DataFrame:
     """(path, text) of PDF files, any case of the ending, by a function from bytes to text."""
     import pandas as pd

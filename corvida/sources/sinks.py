@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Folders over which person pages are spread.
+PAGE_BUCKETS = 256
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """CSV with a header; quotes are doubled, line breaks kept within quotes."""
     df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
@@ -36,7 +40,7 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def write_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Person pages as JSON under buckets of the name's hash; the name itself is the key, so no two persons share a file's fate."""
-    keyed = pages.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(256)).cast("int"))
+    keyed = pages.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(PAGE_BUCKETS)).cast("int"))
     keyed.repartition("bucket").write.mode(mode).partitionBy("bucket").json(path)
 
 

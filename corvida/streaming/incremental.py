@@ -28,6 +28,6 @@ def take_new(stream: DataFrame, out: str, checkpoint: str, operator: Callable[[D
     query.awaitTermination()
 
 
-def yearly_counts(stream: DataFrame, time: str = "modified", late: str = "1 day") -> DataFrame:
+def daily_counts(stream: DataFrame, time: str = "modified", late: str = "1 day") -> DataFrame:
     """Documents a day of arrival, with a watermark for late ones."""
     return stream.withWatermark(time, late).groupBy(F.window(time, "1 day")).agg(F.count(F.lit(1)).alias("documents")).select("window.start", "documents")
