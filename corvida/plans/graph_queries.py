@@ -318,7 +318,12 @@ def _(s, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("X15_person_contexts")
+@query("X15_person_contexts", f"""WITH {o.PERSONS}, chosen AS (SELECT doc_id, entity AS person FROM person_mentions QUALIFY row_number() OVER (PARTITION BY entity ORDER BY doc_id) <= 10),
+    held AS (SELECT person, doc_id, {o.collapse('text')} AS t, length(person) AS size FROM chosen JOIN documents USING (doc_id) WHERE text IS NOT NULL), f AS (SELECT *, upper(t) AS low, instr(upper(t), person) AS first FROM held),
+    g AS (SELECT *, instr(low[first + size :], person) AS gap FROM f WHERE first > 0), hits AS (SELECT person, doc_id, t, size, 0 AS place, first AS p FROM g UNION ALL SELECT person, doc_id, t, size, 1, first + size - 1 + gap FROM g WHERE gap > 0),
+    b AS (SELECT person, doc_id, place, greatest(p - 200, 1) AS a, least(p + size + 200, length(t) + 1) AS z, t FROM hits), k AS (SELECT *, trim(t[a : z - 1], ' ') AS body FROM b)
+    SELECT person, doc_id, CAST(place AS INT) AS place, CASE WHEN a > 1 THEN '...' ELSE '' END || body || CASE WHEN z <= length(t) THEN '...' ELSE '' END AS context FROM k WHERE length(body) > 50
+    QUALIFY row_number() OVER (PARTITION BY person ORDER BY doc_id, place) <= 20""")
 def _(s, d):
     return profiles.snippets(table(s, d, "documents"), _mentions(s, d))
 
@@ -338,8 +343,20 @@ def _(s, d):
     return profiles.search_index(profiles.person_index(table(s, d, "network_nodes_spacy"), table(s, d, "alias_mapping")), "quax")
 
 
-@query("P3_person_pages")
-def _(s, d):
+def _pages_sql() -> str:
+    def counted(name: str, kind: str, most: int) -> str:
+        return f"{name} AS (SELECT person AS name, least(count(*), {most}) AS n_{name} FROM comp WHERE etype = '{kind}' GROUP BY 1)"
+
+    return f"""WITH {EDGES}, {_COMP}, {_INDEX}, {_CANON[len(_ALIAS) + 2:]},
+    said AS (SELECT person AS name FROM canon WHERE upper(trim(coalesce(speaker, ''))) <> 'THE WITNESS' AND (coalesce(answer, '') <> '' OR coalesce(quote, '') <> '')), quoted AS (SELECT name, count(*) AS quote_count FROM said GROUP BY 1),
+    near AS (SELECT src AS name, least(count(*), 50) AS n_associates FROM arcs GROUP BY 1), {counted('organizations', 'organization', 30)}, {counted('locations', 'location', 30)}, {counted('timeline', 'year', 1000)},
+    docs AS (SELECT entity AS name, least(count(DISTINCT doc_id), 200) AS n_documents FROM person_mentions GROUP BY 1)
+    SELECT name, mentions, CAST(len(aliases) AS INT) AS n_aliases, {', '.join(f'CAST(coalesce({c}, 0) AS INT) AS {c}' for c in ('n_associates', 'n_organizations', 'n_locations', 'n_timeline', 'n_documents'))},
+      CAST(least(coalesce(quote_count, 0), 100) AS INT) AS n_quotes, coalesce(quote_count, 0) AS quote_count
+    FROM idx LEFT JOIN near USING (name) LEFT JOIN organizations USING (name) LEFT JOIN locations USING (name) LEFT JOIN timeline USING (name) LEFT JOIN docs USING (name) LEFT JOIN quoted USING (name)"""
+
+
+def _person_pages(s, d):
     raw = table(s, d, "network_nodes_spacy")
     pages = profiles.person_pages(raw, edges(s, d), _mentions(s, d), table(s, d, "all_quotes"), table(s, d, "alias_mapping"))
     return pages.select("name", "mentions", F.size("aliases").alias("n_aliases"), *[F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}") for c in ("associates", "organizations", "locations", "timeline", "quotes", "documents")], "quote_count")
@@ -350,6 +367,9 @@ _ONCE = "once AS (SELECT * FROM all_quotes QUALIFY row_number() OVER (PARTITION
 _CANON = f"{_ALIAS}, {_ONCE}, canon AS (SELECT once.*, coalesce(one.canonical, upper({o.collapse(chr(99) + 'oalesce(speaker, ' + chr(39) * 2 + ')')})) AS person FROM once LEFT JOIN one ON one.alias = upper({o.collapse(chr(99) + 'oalesce(speaker, ' + chr(39) * 2 + ')')}))"
 
 
+query("P3_person_pages", _pages_sql())(_person_pages)
+
+
 @query("J12_canonical_speakers", f"WITH {_CANON} SELECT quote_id, person FROM canon")
 def _(s, d):
     return profiles.canonical_quotes(table(s, d, "all_quotes"), table(s, d, "alias_mapping")).select("quote_id", "person")
@@ -413,11 +433,6 @@ def _quote_rows(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "quote_type", "speaker", "quote")
 
 
-@query("Q1_deposition_qa")
-def _(s, d):
-    return extract.deposition_qa(table(s, d, "documents")).select("doc_id", "question", "answer")
-
-
 def _clean(c: str) -> str:
     return f"trim({o.collapse(c)}, '.,;:\"'' ')"
 
@@ -429,6 +444,32 @@ def _spoken(pattern: str, kind: str) -> str:
     return f"WITH f AS (SELECT doc_id, unnest({z}) AS m FROM documents WHERE text IS NOT NULL) SELECT doc_id, '{kind}' AS quote_type, upper(trim(m[1])) AS speaker, {_clean('m[2]')} AS quote FROM f WHERE length({_clean('m[2]')}) >= 20"
 
 
+def _found(pattern: str, groups: tuple[int, ...], text: str = "text") -> str:
+    zipped = ", ".join(f"regexp_extract_all({text}, {o.q(pattern)}, {g})" for g in groups)
+    return f"SELECT doc_id, unnest(list_zip({zipped})) AS m FROM documents WHERE text IS NOT NULL"
+
+
+# RE2 has no look-ahead. A mark (a private-use character) before each line that asks stands for the place up to which an
+# answer goes; the pattern takes the mark and not what follows it.
+_MARK = "\ue001"
+_MARKED = f"regexp_replace(text, '(\\n\\s*Q[.:\\s])', '{_MARK}\\1', 'g')"
+_QA = f"(?s)(?:(?m:^)|\\n)\\s*Q[.:\\s]+(.{{20,500}}?)\\s*(?:\\n\\s*)?A[.:\\s]+(.{{20,500}}?)(?:{_MARK}|\\n\\n|\\z)"
+_WITNESS = r"(?sm)(?:THE WITNESS|THE DEPONENT|MR\.|MS\.|MRS\.)\s*([A-Z][A-Z\s]+)?[:\s]+(.{20,500}?)$"
+_ATTORNEY = r"(?sm)BY\s+(MR\.|MS\.|MRS\.)\s*([A-Z][A-Z]+)[:\s]*\n?\s*Q[.:\s]+(.{20,500}?)\n\s*A[.:\s]"
+_QUOTES = {
+    "deposition_qa": f"SELECT doc_id, 'deposition_qa' AS quote_type, 'THE WITNESS' AS speaker, {_clean(f"replace(m[2], '{_MARK}', '')")} AS quote, {_clean(f"replace(m[1], '{_MARK}', '')")} AS question FROM ({_found(_QA, (1, 2), _MARKED)})",
+    "said": f"SELECT doc_id, 'said_attribution', upper(trim(m[1])), {_clean('m[2]')}, NULL FROM ({_found(extract.SAID_PATTERN, (1, 2))})",
+    "according": f"SELECT doc_id, 'according_to', upper(trim(m[1])), {_clean('m[2]')}, NULL FROM ({_found(extract.ACCORDING_PATTERN, (1, 2))})",
+    "witness": f"SELECT doc_id, 'witness_statement' AS quote_type, CASE WHEN coalesce(m[1], '') <> '' THEN 'THE WITNESS (' || trim({o.collapse('m[1]')}) || ')' ELSE 'THE WITNESS' END AS speaker, {_clean('m[2]')} AS quote, NULL AS question FROM ({_found(_WITNESS, (1, 2))})",
+    "attorney": f"SELECT doc_id, 'attorney_question' AS quote_type, m[1] || ' ' || trim(m[2]) AS speaker, {_clean('m[3]')} AS quote, NULL AS question FROM ({_found(_ATTORNEY, (1, 2, 3))})",
+}
+
+
+@query("Q1_deposition_qa", f"SELECT doc_id, question, quote AS answer FROM ({_QUOTES['deposition_qa']}) WHERE length(quote) >= 20 AND length(question) >= 20")
+def _(s, d):
+    return extract.deposition_qa(table(s, d, "documents")).select("doc_id", "question", "answer")
+
+
 @query("Q2_said_quotes", _spoken(extract.SAID_PATTERN, "said_attribution"))
 def _(s, d):
     return _quote_rows(extract.said_quotes(table(s, d, "documents")))
@@ -439,17 +480,17 @@ def _(s, d):
     return _quote_rows(extract.according_to(table(s, d, "documents")))
 
 
-@query("Q4_witness_statements")
+@query("Q4_witness_statements", f"SELECT doc_id, quote_type, speaker, quote FROM ({_QUOTES['witness']}) WHERE length(quote) >= 20")
 def _(s, d):
     return _quote_rows(extract.witness_statements(table(s, d, "documents")))
 
 
-@query("Q5_attorney_questions")
+@query("Q5_attorney_questions", f"SELECT doc_id, quote_type, speaker, quote FROM ({_QUOTES['attorney']}) WHERE length(quote) >= 20")
 def _(s, d):
     return _quote_rows(extract.attorney_questions(table(s, d, "documents")))
 
 
-@query("Q6_all_quotes")
+@query("Q6_all_quotes", f"WITH q AS ({' UNION ALL '.join(_QUOTES.values())}) SELECT doc_id, quote_type, speaker, quote FROM q WHERE length(quote) >= 30 AND (question IS NULL OR length(question) >= 20)")
 def _(s, d):
     return _quote_rows(extract.all_quotes(table(s, d, "documents")))
 
@@ -480,22 +521,53 @@ def _(s, d):
 
 
 # -- sentiment and topics -----------------------------------------------------
-@query("M3_document_sentiment")
+_WORD = f"lower(trim(x, {o.q('.,;:!?' + chr(34) + chr(39) + '()')}))"
+_GOOD, _BAD = o.listed(sentiment.POSITIVE), o.listed(sentiment.NEGATIVE)
+
+
+def _split(c: str) -> str:
+    return f"list_filter(regexp_split_to_array({c}, {o.q(o.SPACE + '+')}), lambda x: x <> '')"
+
+
+def _hits(words: str, lexicon: str) -> str:
+    return f"len(list_filter({words}, lambda x: {_WORD} IN ({lexicon})))"
+
+
+_SCORED = "SELECT *, 2.0 * (p - n) / sqrt(4.0 * (p - n) * (p - n) + 15) AS c"
+_DOCUMENT_SENTIMENT = f"""w AS (SELECT doc_id, CASE WHEN length(coalesce(text, '')) >= 10 THEN {_split('text')} ELSE [] END AS w FROM documents),
+    s AS (SELECT doc_id, w, len(w) AS size, CASE WHEN len(w) <= {sentiment.CHUNK_WORDS} THEN 1 ELSE least({sentiment.MAX_CHUNKS}, len(w) // {sentiment.CHUNK_WORDS}) END AS chunks FROM w),
+    k AS (SELECT doc_id, size, w[i * (size // chunks) + 1 : i * (size // chunks) + {sentiment.CHUNK_WORDS}] AS part FROM (SELECT *, unnest(range(0, chunks)) AS i FROM s)),
+    h AS (SELECT doc_id, size, {_hits('part', _GOOD)} AS p, {_hits('part', _BAD)} AS n FROM k), m AS ({_SCORED} FROM h)"""
+
+
+@query("M3_document_sentiment", f"WITH {_DOCUMENT_SENTIMENT} SELECT doc_id, CAST(any_value(size) AS BIGINT) AS word_count, round(avg(c), 4) AS compound FROM m GROUP BY 1")
 def _(s, d):
     return sentiment.document_sentiment(table(s, d, "documents")).select("doc_id", "word_count", F.round("compound", 4).alias("compound"))
 
 
-@query("A21_folder_sentiment")
+_BLANKS = "[ \\t\\n\\x0b\\f\\r]+"
+_FOLDERS = f"""held AS (SELECT doc_id, file_path, CASE WHEN contains(file_path, '/') THEN regexp_extract(file_path, '^(.*)/[^/]*$', 1) ELSE 'root' END AS folder, list_filter(string_split(regexp_replace(text, '{_BLANKS}', ' ', 'g'), ' '), lambda x: x <> '') AS w
+      FROM documents WHERE text IS NOT NULL AND text <> ''),
+    sizes AS (SELECT folder, count(*) AS file_count, CAST(sum(len(w)) AS BIGINT) AS word_count FROM held GROUP BY 1),
+    each AS (SELECT folder, file_path, doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM held),
+    placed AS (SELECT folder, {_split('word')} AS w, (row_number() OVER (PARTITION BY folder ORDER BY file_path, doc_id, i) - 1) // {sentiment.CHUNK_WORDS} AS chunk FROM each),
+    h AS (SELECT folder, chunk, count(*) AS size, sum(len(w)) AS words, sum({_hits('w', _GOOD)}) AS p, sum({_hits('w', _BAD)}) AS n FROM placed GROUP BY 1, 2), m AS ({_SCORED} FROM h),
+    folders AS (SELECT folder, file_count, word_count, compound_score, positive_ratio, negative_ratio, neutral_ratio FROM sizes JOIN (SELECT folder, round(sum(c * size) / sum(size), 4) AS compound_score, round(sum(p / greatest(words, 1) * size) / sum(size), 4) AS positive_ratio,
+      round(sum(n / greatest(words, 1) * size) / sum(size), 4) AS negative_ratio, round(sum((greatest(words, 1) - p - n) / greatest(words, 1) * size) / sum(size), 4) AS neutral_ratio FROM m GROUP BY 1) USING (folder))"""
+
+
+@query("A21_folder_sentiment", f"WITH {_FOLDERS} SELECT * FROM folders")
 def _(s, d):
     return sentiment.folder_sentiment(table(s, d, "documents"))
 
 
-@query("F19_moods")
+@query("F19_moods", f"WITH {_FOLDERS} SELECT count(*) AS folders, round(avg(compound_score), 4) AS mean_compound, count(*) FILTER (compound_score > 0.05) AS positive, count(*) FILTER (compound_score BETWEEN -0.05 AND 0.05) AS neutral, count(*) FILTER (compound_score < -0.05) AS negative FROM folders WHERE word_count > 100")
 def _(s, d):
     return sentiment.moods(sentiment.folder_sentiment(table(s, d, "documents")))
 
 
-@query("O3_extreme_folders")
+@query("O3_extreme_folders", f"""WITH {_FOLDERS}, long AS (SELECT * FROM folders WHERE word_count > 100) SELECT *, 'highest' AS "end" FROM (SELECT * FROM long ORDER BY compound_score DESC, folder LIMIT 10)
+    UNION ALL SELECT *, 'lowest' FROM (SELECT * FROM long ORDER BY compound_score, folder LIMIT 10)""")
 def _(s, d):
     found = sentiment.folder_sentiment(table(s, d, "documents")).filter("word_count > 100")
     high = found.orderBy(F.desc("compound_score"), "folder").limit(10).withColumn("end", F.lit("highest"))
