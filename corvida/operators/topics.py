@@ -26,6 +26,33 @@ def cluster_vectors(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col:
     return found.select("id", labels[F.col("cluster")].alias("topic"))
 
 
+def density_topics(vectors: DataFrame, threshold: float = 0.5, min_points: int = 3, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """(id, topic) by density: topics of any shape, and -1 for what lies in none.
+
+    A vector is a core if min_points vectors, itself among them, are within the cosine
+    threshold. Cores within it of each other are one topic; another vector goes with
+    the most similar core within it, ties to the least id. Topics are numbered by
+    size, equal ones by their least id. Null vectors are left out.
+    """
+    from ..session import cut_lineage
+    from .graph import connected_components
+    from .similarity import cluster_ranks, embedding_pairs
+
+    ids = vectors.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
+    pairs = embedding_pairs(vectors, threshold, id_col, vec_col).select(F.col("vec_a").alias("a"), F.col("vec_b").alias("b"), F.round("similarity", 6).alias("s"))
+    near = cut_lineage(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "s")))
+    cores = cut_lineage(ids.join(near.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("n")), "id", "left").filter(F.coalesce("n", F.lit(0)) + 1 >= min_points).select("id"))
+    beside = near.join(cores.withColumnRenamed("id", "b"), "b", "left_semi")
+    inner = beside.join(cores.withColumnRenamed("id", "a"), "a", "left_semi").filter("a < b")
+    groups = cut_lineage(connected_components(inner.select(F.col("a").alias("src"), F.col("b").alias("dst")), cores))
+    outer = beside.join(cores.withColumnRenamed("id", "a"), "a", "left_anti")
+    best = outer.groupBy("a").agg(F.min(F.struct((-F.col("s")).alias("m"), F.col("b").alias("id"))).alias("c")).select(F.col("a").alias("own"), F.col("c.id").alias("id"))
+    placed = cut_lineage(groups.unionByName(best.join(groups, "id").select(F.col("own").alias("id"), "component")))
+    number = F.regexp_extract("cluster_id", r"(\d+)$", 1).cast("int").alias("topic")
+    named = placed.join(cluster_ranks(placed).select("component", number), "component").select("id", "topic")
+    return ids.join(named, "id", "left").select("id", F.coalesce("topic", F.lit(-1)).alias("topic"))
+
+
 def class_tfidf(words: DataFrame, top: int = 10) -> DataFrame:
     """(topic, word, score, place): the best words of each topic of words(topic, word) by tf * ln(1 + A / f).
 

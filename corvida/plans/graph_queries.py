@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..operators import alias, entities, extract, graph, profiles, sentiment, similarity, topics
+from ..operators import alias, embeddings, entities, extract, graph, profiles, sentiment, similarity, topics
 from ..session import cut_lineage, table
 from . import oracle as o
 
@@ -589,6 +589,37 @@ def _(s, d):
     return topics.topic_info(table(s, d, "documents").select("doc_id", F.coalesce(F.lower("lang"), F.lit("none")).alias("topic")))
 
 
+_NEAR = 0.3
+_DENSE = f"""RECURSIVE e AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE embedding IS NOT NULL),
+    near AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM e a JOIN e b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= {_NEAR}),
+    cores AS (SELECT id FROM e LEFT JOIN (SELECT a AS id, count(*) AS n FROM near GROUP BY 1) USING (id) WHERE coalesce(n, 0) + 1 >= 3),
+    reach AS (SELECT id AS x, id AS y FROM cores UNION SELECT r.x, n.b FROM reach r JOIN near n ON n.a = r.y WHERE n.b IN (FROM cores)), groups AS (SELECT x AS id, min(y) AS component FROM reach GROUP BY 1),
+    best AS (SELECT a AS own, arg_min(b, {{'m': -s, 'b': b}}) AS id FROM near WHERE b IN (FROM cores) AND a NOT IN (FROM cores) GROUP BY 1),
+    placed AS (SELECT * FROM groups UNION ALL SELECT own, component FROM best JOIN groups USING (id)), ranks AS (SELECT component, row_number() OVER (ORDER BY count(*) DESC, component) - 1 AS topic FROM placed GROUP BY 1)"""
+
+
+@query("M1_density_topics", f"WITH {_DENSE} SELECT id, CAST(coalesce(topic, -1) AS INT) AS topic FROM e LEFT JOIN (SELECT id, topic FROM placed JOIN ranks USING (component)) USING (id)")
+def _(s, d):
+    return topics.density_topics(table(s, d, "embeddings"), _NEAR)
+
+
+@query("E8_encoded_documents")
+def _(s, d):
+    return embeddings.encoded(table(s, d, "documents"), embeddings.letter_encoder())
+
+
+def _years() -> object:
+    import re
+
+    rule = re.compile(r"\b(?:19|20)[0-9]{2}\b")
+    return lambda texts: [[("DATE", y) for y in sorted(set(rule.findall(t)))] for t in texts]
+
+
+@query("E4_recognised_dates", r"SELECT doc_id, 'DATE' AS label, unnest(list_distinct(regexp_extract_all(text, '\b(?:19|20)[0-9]{2}\b'))) AS entity FROM documents WHERE text IS NOT NULL")
+def _(s, d):
+    return extract.recognised(table(s, d, "documents"), _years)
+
+
 @query("M1_vector_topics")
 def _(s, d):
     return topics.cluster_vectors(table(s, d, "embeddings"), 10)

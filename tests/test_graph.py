@@ -266,3 +266,28 @@ def test_topics(spark):
     assert found[50] == -1 and {found[i] for i in range(12)} == {0, 1}
     words = spark.createDataFrame([("a", "lamp"), ("a", "lamp"), ("b", "post"), ("b", "the"), ("a", "the")], "topic string, word string")
     assert {r.topic: r.word for r in topics.class_tfidf(words, 1).collect()} == {"a": "lamp", "b": "post"}
+
+
+def test_density_topics(spark):
+    from corvida.operators import topics
+
+    rows = [(i, [1.0, 0.02 * i, 0.0]) for i in range(6)] + [(10 + i, [0.0, 1.0, 0.03 * i]) for i in range(4)] + [(20, [0.0, 0.0, 1.0]), (21, None), (22, [0.9, 0.45, 0.0])]
+    found = {r.id: r.topic for r in topics.density_topics(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.9).collect()}
+    assert found == {**dict.fromkeys(range(6), 0), **dict.fromkeys(range(10, 14), 1), 20: -1, 22: 0}
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topics.density_topics(none).count() == 0
+
+
+def test_encoded_documents(spark):
+    import numpy as np
+
+    from corvida.operators import embeddings
+
+    texts = ["abab ab", "zz", "", None, "1 2", "ab" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.embedding for r in embeddings.encoded(docs, embeddings.letter_encoder(), batch=2).collect()}
+    assert found[2] is None and found[3] is None
+    want = np.zeros(64)
+    want[1], want[26 % 64] = 3, 1  # ab three times, ba once
+    assert np.allclose(found[0], want / np.linalg.norm(want), atol=1e-6)
+    assert sum(x * x for x in found[1]) > 0.99 and sum(found[4]) == 0
