@@ -274,9 +274,11 @@ def _louvain(near: list[dict[int, float]], seed: int) -> list[int]:
 def communities(edges: DataFrame, seed: int = 42, limit: int = LOCAL_EDGES) -> DataFrame:
     """(id, community) by modularity; communities are numbered by size, the largest 0.
 
-    The connected components are independent of each other; the graph is checked
-    for size and handled whole.
+    Graphs of up to `limit` edges are handled whole; larger ones by moves in joins, which
+    end in communities of about the same modularity, not in the same ones.
     """
+    if edges.limit(limit + 1).count() > limit:
+        return _numbered(communities_by_moves(edges, seed))
     names, near = _local(edges, limit)
     found = _louvain(near, seed)
     groups: dict[int, list] = {}
@@ -287,6 +289,64 @@ def communities(edges: DataFrame, seed: int = 42, limit: int = LOCAL_EDGES) -> D
     return edges.sparkSession.createDataFrame([(v, i) for i, g in enumerate(ranked) for v in g], f"id {kind}, community int")
 
 
+def _numbered(members: DataFrame) -> DataFrame:
+    """Communities numbered by size, equal ones by their least member."""
+    from pyspark.sql import Window as W
+
+    sizes = cut_lineage(members.groupBy("community").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("least")))
+    per_size = sizes.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    before = per_size.select("size", F.coalesce(F.sum("n").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    number = F.col("before") + F.row_number().over(W.partitionBy("size").orderBy("least")) - 1
+    ranks = sizes.join(before, "size").select("community", number.cast("int").alias("number"))
+    return members.join(ranks, "community").select("id", F.col("number").alias("community"))
+
+
+def communities_by_moves(edges: DataFrame, seed: int = 42, rounds: int = 20, levels: int = 10) -> DataFrame:
+    """(id, community) by local moves towards modularity, made by joins at any size.
+
+    In a round every node weighs the communities of its neighbours; a random half of
+    those that gain by a move make it, so that neighbours don't change places for
+    ever. When moves end, communities become the nodes of the next level; levels end
+    when one makes no move. A community bears the id of one of its first nodes.
+    """
+    arcs = both_ways(edges.filter("src <> dst")).groupBy("src", "dst").agg(F.sum(F.col("weight").cast("double")).alias("w"))
+    arcs = cut_lineage(arcs)
+    twice = arcs.agg(F.sum("w")).first()[0] or 1.0
+    members = cut_lineage(arcs.select(F.col("src").alias("id")).distinct().withColumn("community", F.col("id")))
+    for level in range(levels):
+        nodes = cut_lineage(arcs.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")))
+        outer = arcs.filter("src <> dst")
+        own = cut_lineage(nodes.select("id", "k", F.col("id").alias("c")))
+        moved_any, still = False, 0
+        for turn in range(rounds):
+            total = own.groupBy("c").agg(F.sum("k").alias("total"))
+            held = own.select(F.col("id").alias("dst"), "c")
+            links = outer.join(held, "dst").groupBy(F.col("src").alias("id"), "c").agg(F.sum("w").alias("w"))
+            here = own.select("id", "k", F.col("c").alias("now"))
+            weighed = links.join(here, "id").join(total, "c")
+            inside = F.when(F.col("c") == F.col("now"), F.col("k")).otherwise(0.0)
+            gain = F.col("w") - (F.col("total") - inside) * F.col("k") / F.lit(twice)
+            best = weighed.withColumn("gain", gain).groupBy("id").agg(
+                F.min(F.struct((-F.col("gain")).alias("m"), F.col("c").alias("c"))).alias("best"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay")
+            )
+            left = own.withColumnRenamed("c", "now").join(total.withColumnRenamed("c", "now"), "now").join(best, "id", "left")
+            stay = F.coalesce("stay", -(F.col("total") - F.col("k")) * F.col("k") / F.lit(twice))
+            takes = (-F.col("best.m") > stay + 1e-12) & (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(level), F.lit(turn)), F.lit(2)) == 0)
+            own = cut_lineage(left.select("id", "k", F.when(takes, F.col("best.c")).otherwise(F.col("now")).alias("c"), F.coalesce(takes, F.lit(False)).alias("moved")))
+            moves = own.filter("moved").count()
+            own = own.drop("moved")
+            moved_any, still = moved_any or moves > 0, 0 if moves else still + 1
+            if still == 2:
+                break
+        if not moved_any:
+            break
+        place = own.select(F.col("id").alias("community"), F.col("c").alias("next"))
+        members = cut_lineage(members.join(place, "community").select("id", F.col("next").alias("community")))
+        a, b = own.select(F.col("id").alias("src"), F.col("c").alias("x")), own.select(F.col("id").alias("dst"), F.col("c").alias("y"))
+        arcs = cut_lineage(arcs.join(a, "src").join(b, "dst").groupBy(F.col("x").alias("src"), F.col("y").alias("dst")).agg(F.sum("w").alias("w")))
+    return members
+
+
 def modularity(edges: DataFrame, members: DataFrame) -> DataFrame:
     """One row, modularity: the share of weight within communities less its expectation."""
     a = members.select(F.col("id").alias("src"), F.col("community").alias("ca"))

@@ -291,3 +291,22 @@ def test_encoded_documents(spark):
     want[1], want[26 % 64] = 3, 1  # ab three times, ba once
     assert np.allclose(found[0], want / np.linalg.norm(want), atol=1e-6)
     assert sum(x * x for x in found[1]) > 0.99 and sum(found[4]) == 0
+
+
+def test_communities_by_joins_are_as_good(spark):
+    import random
+
+    from corvida.operators import graph
+
+    rng = random.Random(4)
+    rows = set()
+    for group in range(4):
+        own = [f"g{group}n{i}" for i in range(8)]
+        rows |= {(a, b, 3) for a in own for b in own if a < b and rng.random() < 0.7}
+    names = sorted({x for r in rows for x in r[:2]})
+    rows |= {(min(a, b), max(a, b), 1) for a, b in (rng.sample(names, 2) for _ in range(12))}
+    edges = spark.createDataFrame(sorted(rows), "src string, dst string, weight long").dropDuplicates(["src", "dst"])
+    whole = graph.modularity(edges, graph.communities(edges)).first().modularity
+    moved = graph.communities(edges, limit=10)
+    assert {r.id for r in moved.collect()} == set(names) and min(r.community for r in moved.collect()) == 0
+    assert graph.modularity(edges, moved).first().modularity >= 0.95 * whole
