@@ -121,6 +121,15 @@ def is_upper(c: Column) -> Column:
     return (F.upper(c) == c) & (F.lower(c) != c)
 
 
+def rows_of(array: Column) -> Column:
+    """A row an element; an empty or null array gives one null, which callers drop.
+
+    Plain explode makes the optimizer test the array's size below, where an array that
+    is found by patterns would be found twice.
+    """
+    return F.explode_outer(array)
+
+
 def without_possessive(c: Column) -> Column:
     """Without a final 's or '."""
     return F.trim(F.regexp_replace(c, r"('s|')$", ""))
@@ -176,11 +185,10 @@ def tokens(c: Column, min_length: int = 3, stop_words=None) -> Column:
     """Array of lower-case words without short ones, numbers, mostly-digit words and stop words."""
     stop = list(dict.fromkeys([*COMMON_STOP_WORDS, *LEGAL_STOP_WORDS] if stop_words is None else stop_words))
     words = F.split(F.regexp_replace(F.lower(c), rf"[^\p{{L}}\p{{N}}_]+", " "), " ")
-    stop_array = F.array(*[F.lit(s) for s in stop]) if stop else F.array().cast("array<string>")
 
     def keep(w: Column) -> Column:
         digits = F.length(F.regexp_replace(w, r"\P{Nd}", ""))
-        return (F.length(w) >= min_length) & (digits <= F.length(w) / 2) & ~F.array_contains(stop_array, w)
+        return (F.length(w) >= min_length) & (digits <= F.length(w) / 2) & ~w.isin(*stop)
 
     return F.filter(words, keep)
 

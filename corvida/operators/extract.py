@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_quote, collapse, is_location, is_organization, is_person, sanitize, without_possessive
+from ..functions.text import clean_quote, collapse, is_location, is_organization, is_person, rows_of, sanitize, without_possessive
 
 NAME_RUN = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}(?:'s)?"
 PLACE_RUN = r"\b(?:in|at|from|to)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})"
@@ -49,14 +49,14 @@ def every(text: Column, pattern: str, group: int = 0) -> Column:
 
 def persons(docs: DataFrame) -> DataFrame:
     """(doc_id, person): filtered names of each document, upper case, each once."""
-    runs = docs.select("doc_id", F.explode(every(F.col("text"), NAME_RUN)).alias("raw"))
+    runs = docs.select("doc_id", rows_of(every(F.col("text"), NAME_RUN)).alias("raw")).filter("raw IS NOT NULL")
     names = runs.select("doc_id", without_possessive(collapse(F.col("raw"))).alias("name"))
     return names.filter(is_person(F.col("name"))).select("doc_id", F.upper("name").alias("person")).distinct()
 
 
 def locations(docs: DataFrame) -> DataFrame:
     """(doc_id, subtype, location): filtered places of each document, each once a subtype."""
-    runs = docs.select("doc_id", F.explode(every(F.col("text"), PLACE_RUN, 1)).alias("raw"))
+    runs = docs.select("doc_id", rows_of(every(F.col("text"), PLACE_RUN, 1)).alias("raw")).filter("raw IS NOT NULL")
     named = runs.select("doc_id", collapse(F.col("raw")).alias("location")).filter(is_location(F.col("location")))
     subtype = F.when(F.col("location").rlike(FACILITY_PARTS), "FAC").when(F.col("location").rlike(NATURE_PARTS), "LOC").otherwise("GPE")
     return named.select("doc_id", subtype.alias("subtype"), "location").distinct()
@@ -64,7 +64,7 @@ def locations(docs: DataFrame) -> DataFrame:
 
 def organizations(docs: DataFrame) -> DataFrame:
     """(doc_id, organization): filtered organisations of each document, each once."""
-    runs = docs.select("doc_id", F.explode(every(F.col("text"), ORG_RUN, 1)).alias("raw"))
+    runs = docs.select("doc_id", rows_of(every(F.col("text"), ORG_RUN, 1)).alias("raw")).filter("raw IS NOT NULL")
     named = runs.select("doc_id", F.trim(sanitize(collapse(F.col("raw")), " \\t")).alias("name")).filter(is_organization(F.col("name")))
     return named.select("doc_id", F.regexp_replace("name", "'s$", "").alias("organization")).distinct()
 
@@ -72,7 +72,7 @@ def organizations(docs: DataFrame) -> DataFrame:
 def date_strings(docs: DataFrame) -> DataFrame:
     """(doc_id, original): distinct date strings of each document in any of the six shapes."""
     found = F.array_distinct(F.concat(*[every(F.col("text"), f"(?i){p}", 1) for p in DATE_PATTERNS]))
-    return docs.filter("text IS NOT NULL").select("doc_id", F.explode(found).alias("original"))
+    return docs.filter("text IS NOT NULL").select("doc_id", rows_of(found).alias("original")).filter("original IS NOT NULL")
 
 
 def parsed_date(c: Column) -> Column:
@@ -99,15 +99,18 @@ def date_mentions(docs: DataFrame, around: int = 100, longest: int = 200) -> Dat
     """
     strings = F.array_distinct(F.concat(*[every(F.col("text"), f"(?i){p}", 1) for p in DATE_PATTERNS]))
 
-    def with_context(original: Column) -> Column:
-        at = F.position(original, F.col("text"))
-        start = F.greatest(at - around, F.lit(1))
-        end = F.least(at + F.length(original) + around, F.length("text") + 1)
-        return F.struct(original.alias("original"), F.substring(collapse(F.substring("text", start, end - start)), 1, longest).alias("context"))
+    def placed(original: Column) -> Column:
+        return F.struct(original.alias("original"), F.position(original, F.col("text")).alias("at"))
 
-    # the strings are a column of their own, so that the patterns run once a row
-    found = docs.filter("text IS NOT NULL").select("doc_id", "text", strings.alias("strings")).filter("size(strings) > 0")
-    each = found.select("doc_id", F.explode(F.transform("strings", with_context)).alias("m")).select("doc_id", "m.original", "m.context")
+    def with_context(m: Column) -> Column:
+        start = F.greatest(m["at"] - around, F.lit(1))
+        end = F.least(m["at"] + F.length(m["original"]) + around, F.col("size") + 1)
+        return F.struct(m["original"].alias("original"), collapse(F.substring("text", start, end - start)).alias("context"))
+
+    # strings, and their places, are found once a row: within a lambda nothing is computed for several uses
+    found = docs.filter("text IS NOT NULL").select("doc_id", "text", F.length("text").alias("size"), strings.alias("strings"))
+    each = found.select("doc_id", rows_of(F.transform(F.transform("strings", placed), with_context)).alias("m")).filter("m IS NOT NULL")
+    each = each.select("doc_id", "m.original", F.substring("m.context", 1, longest).alias("context"))
     kept = each.withColumn("parsed", parsed_date(F.col("original"))).filter(F.year("parsed").between(MIN_YEAR, MAX_YEAR))
     partial = ~F.regexp_replace("original", r"\d{4}", "").rlike(r"\d")
     return kept.select(
@@ -163,7 +166,7 @@ def quotes_of(docs: DataFrame, *kinds: str) -> DataFrame:
     Quotes and questions of under 20 characters are left out; null texts hold none.
     """
     found = docs.filter("text IS NOT NULL").select("doc_id", *[_matches(_KINDS[k][0], *_KINDS[k][1]).alias(k) for k in kinds])
-    rows = found.select("doc_id", F.explode(F.concat(*[F.transform(k, _KINDS[k][2]) for k in kinds])).alias("q")).select("doc_id", "q.*")
+    rows = found.select("doc_id", rows_of(F.concat(*[F.transform(k, _KINDS[k][2]) for k in kinds])).alias("q")).filter("q IS NOT NULL").select("doc_id", "q.*")
     return rows.filter((F.length("quote") >= 20) & (F.col("question").isNull() | (F.length("question") >= 20)))
 
 

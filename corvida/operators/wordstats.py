@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PHRASE_CLASSES, WORD_CLASSES, classify, is_phrase, ngrams, sanitize, sanitize_phrase, tokens
+from ..functions.text import PHRASE_CLASSES, WORD_CLASSES, classify, is_phrase, ngrams, rows_of, sanitize, sanitize_phrase, tokens
 from ..session import cut_lineage
 from .entities import top_per_group
 
@@ -51,7 +51,7 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str)
 def word_tokens(docs: DataFrame, min_length: int = 3, min_chars: int = 100) -> DataFrame:
     """(doc_id, folder, word): every kept word of texts of at least min_chars characters."""
     kept = docs.filter(F.length("text") >= min_chars)
-    return kept.select("doc_id", folder_of(F.col("file_path")).alias("folder"), F.explode(tokens(F.col("text"), min_length)).alias("word"))
+    return kept.select("doc_id", folder_of(F.col("file_path")).alias("folder"), rows_of(tokens(F.col("text"), min_length)).alias("word")).filter("word IS NOT NULL")
 
 
 def word_frequencies(words: DataFrame) -> DataFrame:
@@ -107,10 +107,9 @@ def rank_frequency(freq: DataFrame, top: int | None = None) -> DataFrame:
 
 
 def _grams(docs: DataFrame, cleaned: Column, token: str, sizes: tuple[int, ...], stop_words) -> DataFrame:
-    stop = F.array(*[F.lit(s) for s in stop_words])
-    words = F.filter(F.regexp_extract_all(cleaned, F.lit(token), F.lit(0)), lambda w: ~F.array_contains(stop, w))
+    words = F.filter(F.regexp_extract_all(cleaned, F.lit(token), F.lit(0)), lambda w: ~w.isin(*stop_words))
     held = docs.select("doc_id", words.alias("words"))
-    return held.select("doc_id", F.explode(F.concat(*[ngrams(F.col("words"), n) for n in sizes])).alias("term"))
+    return held.select("doc_id", rows_of(F.concat(*[ngrams(F.col("words"), n) for n in sizes])).alias("term")).filter("term IS NOT NULL")
 
 
 def tfidf(grams: DataFrame, n_docs: int, min_df: int, max_df: float, max_features: int | None = 10_000) -> DataFrame:
