@@ -80,3 +80,76 @@ def test_new_files_are_taken_once(spark, tmp_path):
     (base / "2.txt").write_text("two")
     incremental.take_new(incremental.new_text_files(spark, str(base)), out, mark, lambda df: df.withColumn("text", F.upper("text")))
     assert sorted(r.text for r in spark.read.parquet(out).collect()) == ["TWO", "one"]
+
+
+def test_composed_exports(spark, tmp_path):
+    from corvida.sources import exports
+
+    def rows(path, kind="csv"):
+        reader = spark.read.option("header", True)
+        return [r.asDict(recursive=True) for r in (reader.csv(path) if kind == "csv" else spark.read.json(path)).collect()]
+
+    base = str(tmp_path)
+    members = spark.createDataFrame([("A", 0), ("B", 0), ("C", 1)], "id string, community int")
+    summary = spark.createDataFrame([(0, 2), (1, 1)], "community int, size long")
+    exports.communities(members, spark.createDataFrame([("A", 5), ("B", 2)], "id string, appearances int"), summary, f"{base}/c")
+    assert {(r["name"], r["community"], r["appearances"]) for r in rows(f"{base}/c/node_communities")} == {("A", "0", "5"), ("B", "0", "2"), ("C", "1", None)}
+    assert {r["community_id"]: r["members"] for r in rows(f"{base}/c/communities", "json")} == {0: ["A", "B"], 1: ["C"]}
+
+    files = spark.createDataFrame([(i, f"f{i}") for i in range(4)], "doc_id long, file_path string")
+    pairs = spark.createDataFrame([(1, 2, 0.9)], "doc_a long, doc_b long, similarity double")
+    ranks = spark.createDataFrame([("cluster_0", 1, 2)], "cluster_id string, component long, size long")
+    exports.similarity(pairs, spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, component long"), ranks, files, f"{base}/s")
+    assert rows(f"{base}/s/similar_pairs") == [{"file1": "f1", "file2": "f2", "similarity": "0.9"}]
+    assert rows(f"{base}/s/cluster_summary") == [{"cluster_id": "cluster_0", "size": "2", "sample_file": "f1"}]
+    assert rows(f"{base}/s/clusters", "json") == [{"cluster_0": ["f1", "f2"]}]
+
+    links = spark.createDataFrame([("person_year", "A", "2001", 4), ("location_year", "X", "2001", 2)], "relationship string, entity_a string, entity_b string, cooccurrences long")
+    exports.links(links, f"{base}/l")
+    assert rows(f"{base}/l/person_year_links") == [{"person": "A", "year": "2001", "cooccurrences": "4"}]
+    assert {r["relationship"] for r in rows(f"{base}/l/summary", "json")} == {"person_year", "location_year"} and not (tmp_path / "l/location_year_links").exists()
+
+    groups = spark.createDataFrame([("A B", 3, "AB", 1, 90.0, "x"), ("Z", 3, "AB", 1, 80.0, "y")], corpus.ALIAS_SCHEMA)
+    mentions = spark.createDataFrame([(1, "AB"), (1, "A B"), (2, "C")], "doc_id long, entity string")
+    exports.aliases(groups, f"{base}/a", mentions)
+    assert sorted(map(tuple, corpus.person_lines(spark, f"{base}/a/resolved").collect())) == [("1", "A B"), ("2", "C")]
+    assert rows(f"{base}/a/applied") == [{"alias": "AB", "canonical": "A B"}] and len(rows(f"{base}/a/canonical_names")) == 2
+
+    quotes = spark.createDataFrame([(i, "said", "ANN", f'"q{i}",\nx') for i in range(3)], "quote_id long, quote_type string, speaker string, quote string")
+    exports.quotes(quotes, quotes.select("speaker").distinct(), quotes.limit(0).select("speaker"), f"{base}/q", most=2)
+    assert [len(r["quotes"]) for r in rows(f"{base}/q/speaker_quotes", "json")] == [2] and rows(f"{base}/q/quote_types") == [{"quote_type": "said", "quotes": "3"}]
+
+    per_doc = spark.createDataFrame([(1, 0), (2, 4)], "doc_id long, total_redactions long")
+    samples = spark.createDataFrame([("p", "[X]", 1)], "pattern string, sample string, documents long")
+    exports.redactions(per_doc, samples.select("pattern"), per_doc.limit(0), samples, f"{base}/r")
+    assert rows(f"{base}/r/redacted_documents") == [{"doc_id": "2", "total_redactions": "4"}] and rows(f"{base}/r/samples", "json") == [{"p": ["[X]"]}]
+
+    words = spark.createDataFrame([("t", "b", 0.1, 2), ("t", "a", 0.2, 1)], "topic string, word string, score double, place int")
+    exports.topics(spark.createDataFrame([("t", 2)], "topic string, documents long"), words, f"{base}/t")
+    assert [w["word"] for w in rows(f"{base}/t/topic_words", "json")[0]["words"]] == ["a", "b"]
+
+    phrases = spark.createDataFrame([("one two", 1.0, "Law"), ("three four", 0.5, "Other")], "phrase string, score double, category string")
+    exports.phrases(phrases, spark.createDataFrame([(7, "one two")], "doc_id long, phrase string"), f"{base}/p")
+    assert {r["category"] for r in rows(f"{base}/p/by_category")} == {"Law", "Other"} and rows(f"{base}/p/document_phrases", "json") == [{"7": ["one two"]}]
+
+    persons = spark.createDataFrame([("A", 3), ("B", 9)], "person string, doc_count long")
+    exports.profiles(persons, persons, persons.limit(0), f"{base}/f", most=1)
+    assert [r.value for r in spark.read.text(f"{base}/f/reports").collect()] == ["B | doc_count: 9"] and len(rows(f"{base}/f/profiles", "json")) == 2
+
+
+def test_last_profile_holds_and_both_endings_are_read(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"name": "A", "total_mentions": 1, "documents": []}, {"name": "A", "total_mentions": 7, "documents": ["x"]}]))
+    assert [tuple(r) for r in corpus.profiles(spark, str(tmp_path / "p.json")).collect()] == [("A", 7, ["x"])]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d/a.txt").write_text("one")
+    (tmp_path / "d/B.TXT").write_text("two")
+    assert {r.filename for r in corpus.directory_files(spark, f"file:{tmp_path}").collect()} == {"a.txt", "B.TXT"}
+    assert {r.folder for r in corpus.directory_files(spark, f"file:{tmp_path}").collect()} == {"d"}
+
+
+def test_pages_are_read_by_their_bucket(spark, tmp_path):
+    pages = spark.createDataFrame([(f"N{i}", i) for i in range(20)], "name string, mentions int")
+    sinks.write_pages(pages, str(tmp_path / "pages"))
+    assert [tuple(r) for r in corpus.person_page(spark, str(tmp_path / "pages"), "N7", "name string, mentions int").collect()] == [("N7", 7)]
+    assert corpus.person_page(spark, str(tmp_path / "none"), "N7", "name string, mentions int").count() == 0
+    assert corpus.person_index(spark, str(tmp_path / "none")).count() == 0
