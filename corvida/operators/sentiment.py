@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import rows_of
 from .wordstats import folder_of, running_sums
 
 MAX_CHUNKS, CHUNK_WORDS = 100, 1000
@@ -74,19 +75,21 @@ def folder_chunks(docs: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
     tasks. Each document then gives the words that fall into a chunk. Rows of one
     doc_id and path count once.
     """
-    held = docs.filter("text IS NOT NULL AND text <> ''").select("doc_id", "file_path", folder_of(F.col("file_path")).alias("folder"), F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ").alias("w"))
-    held = held.filter("w[0] <> ''")
-    sizes = held.groupBy("folder", "file_path", "doc_id").agg(F.max(F.size("w")).alias("size"))
-    before = running_sums(sizes, ["folder"], ["file_path", "doc_id"], "size").drop("size").withColumnRenamed("before", "before_doc")
+    squeezed = F.trim(F.regexp_replace("text", r"\s+", " "))
+    held = docs.filter("text IS NOT NULL AND text <> ''").select("doc_id", "file_path", folder_of(F.col("file_path")).alias("folder"), squeezed.alias("t")).filter("t <> ''")
+    words = F.length("t") - F.length(F.replace("t", F.lit(" "), F.lit(""))) + 1
+    sizes = held.groupBy("folder", "file_path", "doc_id").agg(F.max(words).alias("size"))
+    before = running_sums(sizes, ["folder"], ["file_path", "doc_id"], "size")
     same = [F.col(f"h.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("folder", "file_path", "doc_id")]
-    placed = held.alias("h").join(before.alias("b"), same[0] & same[1] & same[2]).select("h.*", F.col("before_doc").alias("before"))
-    total = sizes.groupBy("folder").agg(F.sum("size").alias("total"))
+    # texts are shuffled as strings, which are smaller than arrays of their words
+    placed = held.alias("h").join(before.alias("b"), same[0] & same[1] & same[2]).select("h.folder", "h.t", "b.before", "b.total")
+    known = placed.select("folder", F.split("t", " ").alias("w"), "before", "total")
     if most is None:
         chunks, step = F.ceil(F.col("total") / CHUNK_WORDS), F.lit(CHUNK_WORDS)
     else:
         chunks = F.when(F.col("total") <= CHUNK_WORDS, 1).otherwise(F.least(F.lit(most), F.floor(F.col("total") / CHUNK_WORDS)))
         step = F.floor(F.col("total") / F.col("chunks"))
-    known = placed.join(total, "folder").withColumn("chunks", chunks.cast("int")).withColumn("step", step)
+    known = known.withColumn("chunks", chunks.cast("int")).withColumn("step", step)
     first = F.greatest(F.lit(0), F.floor((F.col("before") - CHUNK_WORDS) / F.col("step")))
     last = F.least(F.col("chunks") - 1, F.floor((F.col("before") + F.size("w") - 1) / F.col("step")))
 
@@ -94,12 +97,13 @@ def folder_chunks(docs: DataFrame, most: int | None = MAX_CHUNKS) -> DataFrame:
         start = chunk * F.col("step")
         lo = F.greatest(start - F.col("before"), F.lit(0))
         hi = F.least(start + F.when(F.col("total") <= CHUNK_WORDS, F.col("total")).otherwise(CHUNK_WORDS) - F.col("before"), F.size("w"))
-        return F.struct(chunk.alias("chunk"), F.slice("w", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")).alias("part"))
+        return F.struct(chunk.alias("chunk"), F.array_join(F.slice("w", (lo + 1).cast("int"), F.greatest(hi - lo, F.lit(0)).cast("int")), " ").alias("part"))
 
     # Parts are cut before they become rows, so a long text's words aren't repeated for each chunk.
-    each = known.filter(first <= last).select("folder", "before", F.explode(F.transform(F.sequence(first.cast("int"), last.cast("int")), within)).alias("c"))
-    part = each.select("folder", "c.chunk", "before", "c.part").filter(F.size("part") > 0)
-    return part.groupBy("folder", "chunk").agg(F.flatten(F.transform(F.sort_array(F.collect_set(F.struct("before", "part"))), lambda s: s["part"])).alias("words"))
+    each = known.filter(first <= last).select("folder", "before", rows_of(F.transform(F.sequence(first.cast("int"), last.cast("int")), within)).alias("c")).filter("c IS NOT NULL")
+    part = each.select("folder", "c.chunk", "before", "c.part").filter("part <> ''")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct("before", "part"))), lambda s: s["part"]), " ")
+    return part.groupBy("folder", "chunk").agg(F.split(joined, " ").alias("words"))
 
 
 def folder_sentiment(docs: DataFrame, scorer: Scorer | None = None) -> DataFrame:

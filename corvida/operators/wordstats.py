@@ -28,7 +28,7 @@ def folder_of(path: Column) -> Column:
 
 
 def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Adds `before`, the sum of value over the rows of the same keys that come before in the order.
+    """Adds `before`, the sum of value over the rows of the same keys that come before in the order, and `total`, that of all.
 
     Rows are put into ranges of (keys, order); sums run within a range, and ranges of
     one key are added up by their sums, so no task sees all rows of a key. Rows that
@@ -39,13 +39,13 @@ def running_sums(rows: DataFrame, keys: list[str], order: list[str], value: str)
     ranged = cut_lineage(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
     parts = ranged.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum"))
     earlier = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # a row a range
-    base = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    base = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"), F.sum("_sum").over(W.partitionBy(*keys)).alias("total"))
     own = W.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     within = ranged.withColumn("_within", F.coalesce(F.sum(value).over(own), F.lit(0)))
     met = F.col("_range") == F.col("_r")
     for k in keys:
         met = met & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return within.join(base, met).select(*rows.columns, (F.col("_base") + F.col("_within")).alias("before"))
+    return within.join(base, met).select(*rows.columns, (F.col("_base") + F.col("_within")).alias("before"), "total")
 
 
 def word_tokens(docs: DataFrame, min_length: int = 3, min_chars: int = 100) -> DataFrame:
