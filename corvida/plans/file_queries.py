@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import ORGANIZATION_PARTS, collapse, is_organization, quality_class
-from ..operators import alias, entities, graph, profiles, quality, redaction, similarity, topics, wordstats
+from ..operators import entities, graph, profiles, quality, redaction, similarity, topics, wordstats
 from ..session import scratch_folder, table
 from ..sources import corpus, exports, sinks
 from . import oracle as o
