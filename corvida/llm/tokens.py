@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
