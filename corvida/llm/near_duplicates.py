@@ -4,11 +4,16 @@ A text is the set of its distinct runs of three words. Two texts are near
 duplicates when each holds at least 70 % of the other's set, so that, s being the
 larger size, their sets differ in at most 0.6 s elements. Texts are put into
 size bands; within a band the feature domain is hashed into a number of
-partitions that follows the band's size, and a text's signatures are the
-contents of its non-empty partitions. Sets that differ little leave many
-partitions equal, so similar texts of a band share signatures; a candidate must
-agree on a subset of two or three of them. Neighbouring bands overlap, so that sets whose
-sizes differ by as much as a link allows meet in the larger set's band.
+partitions that follows the band's size, in several independent rounds, and a
+text's signatures are the contents of its partitions that hold three elements or
+more. Sets that differ little leave many partitions equal, so similar texts of a
+band share signatures; a candidate must agree on two of them, or on one of four
+elements. A partition of one or two elements is no signature: an element, and
+many a pair of them, stands in a fixed share of all texts, so pairs under it would
+grow with the square of their number. Neighbouring bands overlap, so that sets
+whose sizes differ by as much as a link allows meet in the larger set's band. Sets
+of a few elements, as texts of one repeated phrase have, form a band of their own,
+where every partition counts.
 
 Leaving elements out of the domain never makes two sets more different.
 Therefore elements that occur in a large share of all texts are left out, by a
@@ -41,20 +46,32 @@ SKETCH_BITS = 18
 COMMON_SHARE = 0.002
 #: Below this share of uncommon elements a text emits signatures over the full domain as well.
 MIN_UNCOMMON = 0.4
+#: Below this share its uncommon elements are signed once more, as the difference to a similar text may lie in them alone.
+FEW_UNCOMMON = 0.5
 BAND_BASE, BAND_RATIO = 20, 2.0
-PARTITIONS_PER_ELEMENT, MIN_PARTITIONS = 0.2, 40
-#: Agreement that makes a candidate: a partition of several elements counts two, one of a single element one.
-SUBSET = 3
+#: Elements that a partition holds at the upper end of a band, and the least of them that make a signature.
+PER_PARTITION, LEAST = 3.5, 3
+#: Partitions of all rounds together, and how many more the lowest band has; each band above has a third of that. Two sets
+#: that just make a link agree on about 5 % of them, small sets on a number that varies more.
+PARTITIONS, MORE_PARTITIONS = 220, 560
+#: Agreement that makes a candidate: a partition of MANY elements or more counts two, a smaller one counts one.
+SUBSET, MANY = 2, 4
+#: Sets under so many elements are compared with each other in (partitions, rounds) of which every one counts.
+TINY, TINY_PARTITIONS = 16, (4, 30)
+#: Elements of the texts that are signed at once.
+PIECE = 500_000
 #: Texts under one signature that one task pairs; larger groups are split into blocks of this size.
 BLOCK = 512
 #: Bits of a signature; texts that share one by chance are only compared once more.
 SIGNATURE_BITS = 48
 #: Low bits below a signature that say how large the text's set is, in steps of a twentieth; sets of too different sizes
-#: make no pair. The bit above them says whether the partition holds several elements.
+#: make no pair. The bit above them says whether the partition counts two.
 SIZE_BITS, SIZE_STEP = 8, 1.05
 GROUP_SHIFT = SIZE_BITS + 1
 #: Up to so many ids (8 bytes each) are broadcast to pick texts; beyond it the join shuffles.
 BROADCAST_IDS = 500_000
+#: Bits of the filter by which a scan passes over texts that aren't wanted, when their ids are too many for a broadcast.
+FILTER_BITS = 22
 
 
 def _sets(texts: list[str], min_words: int, shingle: int) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -94,53 +111,79 @@ def _sketch(batches: Iterator[pa.RecordBatch], min_words: int, shingle: int) ->
     )
 
 
-def _signatures_of(elements: np.ndarray, band: int, domain: int) -> np.ndarray:
-    upper = BAND_BASE * BAND_RATIO ** (band + 1)
-    parts = np.uint64(max(np.ceil(PARTITIONS_PER_ELEMENT * upper), min(upper, MIN_PARTITIONS)))
-    spread = mix(elements)
-    part = (spread >> np.uint64(20)) % parts
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    content = np.add.reduceat(mix(spread[order] ^ np.uint64(0xA5A5A5A5)), first)
-    sig = mix(content + part[first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(2 * band + domain)) >> np.uint64(64 - SIGNATURE_BITS)
-    several = np.diff(np.append(first, len(part))) > 1
-    return (sig << np.uint64(1) | several) << np.uint64(SIZE_BITS)
-
-
-def _bands(size: int) -> set[int]:
-    log = np.log(BAND_RATIO)
-    low = int(np.floor(np.log(max(size, BAND_BASE) / BAND_BASE) / log))
-    high = int(np.floor(np.log(max(size / CONTAINMENT, BAND_BASE) / BAND_BASE + 1e-9) / log))
-    return {low, high}
-
-
-def _signatures(batches: Iterator[pa.RecordBatch], common: bytes, min_words: int, shingle: int) -> Iterator[pa.RecordBatch]:
+def _bands(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Band of each size, and that of the largest set it may be linked with; -1 is that of tiny sets."""
+
+    def band(size: np.ndarray) -> np.ndarray:
+        above = np.floor(np.log(np.maximum(size, BAND_BASE) / BAND_BASE + 1e-9) / np.log(BAND_RATIO)).astype(np.int64)
+        return np.where(size < TINY, -1, above)
+
+    return band(sizes), band(sizes / CONTAINMENT)
+
+
+def _partitions(band: int, share: float) -> tuple[int, int]:
+    """(partitions, rounds) of a band whose sets have this share of their elements in the domain."""
+    if band < 0:
+        return TINY_PARTITIONS
+    upper = BAND_BASE * BAND_RATIO ** (band + 1) * share
+    wanted = PARTITIONS + MORE_PARTITIONS / 3**band
+    rounds = max(1, int(np.ceil(wanted * PER_PARTITION / upper)))
+    return int(np.ceil(max(wanted / rounds, upper / PER_PARTITION))), rounds
+
+
+def _contents(elements: np.ndarray, owner: np.ndarray, band: int, domain: int, share: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(signature and the bit of those that count two, number of the text) of the texts of one band, for each round."""
+    parts, rounds = _partitions(band, share)
+    least, many = (LEAST, MANY) if band >= 0 else (1, 1)
+    for r in range(rounds):
+        salt = mix(np.array([(r + 1) << 16 | (band + 1) << 2 | domain], dtype=np.uint64))
+        spread = mix(elements ^ salt)
+        place = owner * parts + (((spread >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(place)
+        place = place[order]
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        held = np.diff(np.append(first, len(place)))
+        enough = held >= least
+        content = np.add.reduceat(spread[order], first)[enough]
+        place, held = place[first[enough]], held[enough]
+        sig = mix(content + (place % parts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + salt)
+        yield sig >> np.uint64(64 - SIGNATURE_BITS) << np.uint64(1) | (held >= many), place // parts
+
+
+def _signed(ids: np.ndarray, sets: list[np.ndarray], heavy: np.ndarray, share: float) -> pa.RecordBatch:
+    """Signatures, with the step of the set's size below, and the id of each."""
+    sizes = np.array([len(e) for e in sets])
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    light = ~heavy[(elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    uncommon = np.bincount(owner[light], minlength=len(sets)) / sizes
+    step = np.minimum(np.log(sizes) / np.log(SIZE_STEP), (1 << SIZE_BITS) - 1).astype(np.uint64)
+    low, high = _bands(sizes)
+    sigs, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    domains = (light, share), ((uncommon < MIN_UNCOMMON)[owner], 1.0), (light & (uncommon < FEW_UNCOMMON)[owner], (MIN_UNCOMMON + FEW_UNCOMMON) / 2)
+    for domain, (inside, part) in enumerate(domains):
+        for band in np.union1d(low, high):
+            chosen = inside & ((low == band) | (high == band))[owner]
+            if chosen.any():
+                for sig, text in _contents(elements[chosen], owner[chosen], int(band), domain, part):
+                    sigs.append(sig << np.uint64(SIZE_BITS) | step[text])
+                    owners.append(text)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(ids[np.concatenate(owners)])], ["sig", "id"])
+
+
+def _signatures(batches: Iterator[pa.RecordBatch], common: bytes, share: float, min_words: int, shingle: int) -> Iterator[pa.RecordBatch]:
     heavy = np.unpackbits(np.frombuffer(common, dtype=np.uint8)).astype(bool)
     for batch in batches:
-        texts, ids = _texts(batch), batch.column("doc_id").to_pylist()
-        out, owners = [], []
-        for i, _, elements in _sets(texts, min_words, shingle):
-            light = elements[~heavy[(elements >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]]
-            domains = [(0, light)] if len(light) else []
-            if len(light) < MIN_UNCOMMON * len(elements):
-                domains.append((1, elements))
-            size = min(int(np.log(len(elements)) / np.log(SIZE_STEP)), (1 << SIZE_BITS) - 1)
-            for band in _bands(len(elements)):
-                for domain, chosen in domains:
-                    out.append(_signatures_of(chosen, band, domain) | np.uint64(size))
-                    owners.append(np.full(len(out[-1]), ids[i], dtype=np.int64))
-            if len(out) > 20_000:
-                yield _rows(out, owners)
-                out, owners = [], []
-        if out:
-            yield _rows(out, owners)
-
-
-def _rows(out: list[np.ndarray], owners: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners))], ["sig", "id"]
-    )
+        ids = batch.column("doc_id").to_numpy()
+        at, held, size = [], [], 0
+        for i, _, elements in _sets(_texts(batch), min_words, shingle):
+            at.append(i)
+            held.append(elements)
+            size += len(elements)
+            if size >= PIECE:
+                yield _signed(ids[at], held, heavy, share)
+                at, held, size = [], [], 0
+        if held:
+            yield _signed(ids[at], held, heavy, share)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,8 +202,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def emit(x: np.ndarray, y: np.ndarray, key_x: np.ndarray, key_y: np.ndarray) -> pa.RecordBatch:
         near = np.abs((key_x & low) - (key_y & low)) <= apart
-        x, y, several = x[near], y[near], (key_x[near] >> SIZE_BITS) & 1
-        return rows(np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()), 1 + several)
+        x, y, many = x[near], y[near], (key_x[near] >> SIZE_BITS) & 1
+        return rows(np.minimum(x, y), np.maximum(x, y), pa.nulls(len(x), pa.int64()), 1 + many)
 
     def done(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         nonlocal hot
@@ -203,8 +246,20 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from done(key, ids)
 
 
-def _shingle_sets(batches: Iterator[pa.RecordBatch], min_words: int, shingle: int) -> Iterator[pa.RecordBatch]:
+def _id_bits(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _bits_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(_id_bits(batch.column("doc_id").to_numpy())))], ["bit"])
+
+
+def _shingle_sets(batches: Iterator[pa.RecordBatch], min_words: int, shingle: int, wanted: bytes | None = None) -> Iterator[pa.RecordBatch]:
+    passing = None if wanted is None else np.unpackbits(np.frombuffer(wanted, dtype=np.uint8)).astype(bool)
+    for batch in batches:
+        if passing is not None:
+            batch = batch.filter(pa.array(passing[_id_bits(batch.column("doc_id").to_numpy())]))
         ids = batch.column("doc_id").to_pylist()
         # Half of each hash is kept: within two sets it tells elements apart but for one case in millions.
         rows = [(ids[i], np.unique((e >> np.uint64(32)).astype(np.uint32)).tobytes()) for i, _, e in _sets(_texts(batch), min_words, shingle)]
@@ -232,6 +287,17 @@ def _by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small else ids, "doc_id", how)
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, **shape: int) -> DataFrame:
+    """(id, elements) of the texts with these ids. When the ids are many, sets are shuffled, of texts that a filter of the ids passes."""
+    schema = "id long, elements binary"
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(partial(_shingle_sets, **shape), schema)
+    bits = np.zeros(1 << FILTER_BITS, dtype=bool)
+    bits[ids.mapInArrow(_bits_of, "bit long").dropDuplicates().toPandas()["bit"].to_numpy(np.int64)] = True  # at most 2^FILTER_BITS rows
+    passed = docs.mapInArrow(partial(_shingle_sets, wanted=np.packbits(bits).tobytes(), **shape), schema)
+    return passed.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+
+
 def _copies(docs: DataFrame) -> DataFrame:
     """(doc_id, rep) of the texts that stand under several ids; rep is the smallest of them."""
     hashed = docs.select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g"))
@@ -262,14 +328,16 @@ def near_duplicate_links(
         docs.select("text").mapInArrow(partial(_sketch, **shape), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     )
     counted = sketch.toPandas()  # at most 2^18 + 1 rows, whatever the size of the corpus
-    heavy = np.zeros(1 << SKETCH_BITS, dtype=bool)
-    if len(counted):
+    heavy, share = np.zeros(1 << SKETCH_BITS, dtype=bool), 1.0
+    elements = counted[counted.bucket >= 0]
+    if len(elements):
         floor = max(COMMON_SHARE * counted.n[counted.bucket < 0].sum(), 20)
-        heavy[counted.bucket[(counted.bucket >= 0) & (counted.n >= floor)]] = True
+        heavy[elements.bucket[elements.n >= floor]] = True
+        share = max(float(elements.n[elements.n < floor].sum() / elements.n.sum()), MIN_UNCOMMON)
 
     copies = _copies(docs)
     own = _by_ids(docs, copies.filter("doc_id <> rep").select("doc_id").dropDuplicates(), "left_anti")
-    signed = own.mapInArrow(partial(_signatures, common=np.packbits(heavy).tobytes(), **shape), "sig long, id long")
+    signed = own.mapInArrow(partial(_signatures, common=np.packbits(heavy).tobytes(), share=share, **shape), "sig long, id long")
     paired = signed.repartition(F.shiftright("sig", GROUP_SHIFT)).sortWithinPartitions("sig", "id").mapInArrow(_pairs, "a long, b long, sig long, n int")
     agreeing = paired.groupBy("a", "b", "sig").agg(F.sum("n").alias("n"))
     agreeing = cut_lineage(agreeing.filter((F.col("n") >= SUBSET) | F.col("sig").isNotNull()))
@@ -278,7 +346,7 @@ def near_duplicate_links(
     candidates = cut_lineage(found.dropDuplicates())
 
     wanted = candidates.select(F.col("a").alias("doc_id")).union(candidates.select("b")).union(copies.select("rep")).dropDuplicates()
-    sets = cut_lineage(_by_ids(docs, wanted, "left_semi").mapInArrow(partial(_shingle_sets, **shape), "id long, elements binary"))
+    sets = cut_lineage(_sets_of(docs, wanted, **shape))
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("elements_a"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("elements_b"))
     links = candidates.join(left, "a").join(right, "b").mapInArrow(partial(_verified, containment=containment), "a long, b long")

@@ -157,6 +157,54 @@ def test_a_group_of_copies_that_fills_a_third_of_the_corpus(spark):
     assert len(found) == 60 * 59 // 2
 
 
+def _brute_force_links(texts):
+    sets = [_shingles(t) for t in texts]
+    return {
+        (i + 1, j + 1)
+        for i in range(len(sets)) for j in range(i + 1, len(sets))
+        if sets[i] and sets[j] and len(sets[i] & sets[j]) >= 0.7 * max(len(sets[i]), len(sets[j]))
+    }
+
+
+def test_runs_of_words_that_many_texts_share_make_no_pairs():
+    """Unrelated short texts; each of 30 phrases stands in about 60 of them, so pairs under one phrase would be over 30 a text."""
+    import pyarrow as pa
+
+    rng = random.Random(21)
+    phrases = [prose(rng, 3) for _ in range(30)]
+    texts = [" ".join(f"{prose(rng, 9, 99)} {p}" for p in rng.sample(phrases, 3)) for _ in range(600)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(600)), "text": texts})
+    none = bytes((1 << near_duplicates.SKETCH_BITS) // 8)
+    rows = pa.Table.from_batches(near_duplicates._signatures(iter([batch]), common=none, share=1.0, min_words=20, shingle=3)).sort_by([("sig", "ascending"), ("id", "ascending")])
+    pairs = sum(b.num_rows for b in near_duplicates._pairs(iter(rows.combine_chunks().to_batches())))
+    assert rows.num_rows > 600 * 50
+    assert pairs < 600
+
+
+def test_texts_of_few_distinct_runs_equal_brute_force(spark):
+    rng = random.Random(22)
+    texts = []
+    for k in (1, 2, 3, 4, 6, 8, 11, 15, 17, 20):
+        phrase = prose(rng, k).split()
+        for i in range(6):
+            cut = phrase * (60 // k + i)
+            texts.append(" ".join(cut if i < 3 else [*cut, f"end{i}"]))
+    want = _brute_force_links(texts)
+    assert len(want) > 100
+    assert {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(documents(spark, texts)).collect()} == want
+
+
+def test_more_ids_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BROADCAST_IDS", 3)
+    rng = random.Random(23)
+    texts = []
+    for k in range(20):
+        base = prose(rng, 60 + k).split()
+        texts += [" ".join(base), " ".join(["edit", *base]), " ".join(base)]
+    texts += [prose(rng, 80) for _ in range(40)]
+    assert {(r.doc_id_a, r.doc_id_b) for r in near_duplicates.near_duplicate_pairs(documents(spark, texts)).collect()} == _brute_force_links(texts)
+
+
 def test_over_large_signature_groups_go_to_blocks(spark, monkeypatch):
     import pyarrow as pa
 
