@@ -9,7 +9,7 @@ import pytest
 from corvida.operators import document_pairs, similarity, wordstats
 from corvida.plans import registry
 
-WHOLE = ["G14_similarity_clusters_whole", "W3_cluster_ranks_whole", "A25_similarity_levels_whole", "J8_similar_documents_whole"]
+WHOLE = ["A28_similarity_histogram_whole", "G14_similarity_clusters_whole", "W3_cluster_ranks_whole", "A25_similarity_levels_whole", "J8_similar_documents_whole"]
 
 
 def texts(n: int, seed: int) -> list[str]:
