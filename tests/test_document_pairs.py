@@ -47,3 +47,16 @@ def test_no_row_a_term_is_shuffled(spark, tmp_path, monkeypatch, name):
     monkeypatch.setattr(similarity, "similar_pairs", never)
     spark.createDataFrame([(i, t, f"f{i}.txt") for i, t in enumerate(texts(40, 6))], "doc_id long, text string, file_path string").write.parquet(f"{tmp_path}/documents.parquet")
     assert registry.queries()[name](spark, str(tmp_path)).count()
+
+
+@pytest.mark.parametrize("name", ["G14_similarity_clusters"])
+def test_what_follows_50000_characters_counts(spark, tmp_path, name):
+    rng = random.Random(8)
+    head, a, b, c = (["".join(rng.choice("bcdfghjklm") for _ in range(7)) for _ in range(40)] for _ in range(4))
+    start = rng.choices(head, k=6_500)  # 52,000 characters
+    parts = [start + rng.choices(a, k=30_000), start + rng.choices(b, k=30_000), rng.choices(c, k=300)]  # the first two are alike only at their beginnings
+    rows = [(i, " ".join(p), f"f/{i}.txt") for i, p in enumerate([*parts, parts[2], rng.choices(a + b, k=3_000)])]
+    spark.createDataFrame(rows, "doc_id long, text string, file_path string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    want = {"A25_similarity_levels": [(1, 1, 0)], "A28_similarity_histogram": [(49, 1)], "G14_similarity_clusters": [(2, 2), (3, 2)], "K5_similarity_files": [("f/2.txt", "f/3.txt", 1.0)]}
+    assert sorted(found) == want[name]
