@@ -49,7 +49,7 @@ def test_no_row_a_term_is_shuffled(spark, tmp_path, monkeypatch, name):
     assert registry.queries()[name](spark, str(tmp_path)).count()
 
 
-@pytest.mark.parametrize("name", ["A25_similarity_levels", "A28_similarity_histogram", "G14_similarity_clusters"])
+@pytest.mark.parametrize("name", ["A25_similarity_levels", "A28_similarity_histogram", "G14_similarity_clusters", "K5_similarity_files"])
 def test_what_follows_50000_characters_counts(spark, tmp_path, name):
     rng = random.Random(8)
     head, a, b, c = (["".join(rng.choice("bcdfghjklm") for _ in range(7)) for _ in range(40)] for _ in range(4))
