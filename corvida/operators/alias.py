@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, name_parts, normalized_name
+from ..session import cut_lineage
 from .graph import connected_components
 
 # Short forms of given names; of a short form of several names the last holds.
@@ -63,16 +64,18 @@ def match(a: tuple[str, str, str], b: tuple[str, str, str], threshold: float = 8
         return 100.0, "exact"
     if last_a not in last_b and last_b not in last_a:
         return None
-    score = similarity(whole_a, whole_b)
-    if first_a == first_b and score >= threshold:
-        return score, "same_first_last"
+    if first_a == first_b:
+        score = similarity(whole_a, whole_b)
+        if score >= threshold:
+            return score, "same_first_last"
     formal_a, formal_b = _FORMAL.get(first_a, first_a), _FORMAL.get(first_b, first_b)
     if formal_a == formal_b or first_b in NICKNAMES.get(first_a, ()) or first_a in NICKNAMES.get(first_b, ()):
         return 90.0, "nickname"
     if (len(first_a) == 1 and first_b.startswith(first_a)) or (len(first_b) == 1 and first_a.startswith(first_b)):
         return 85.0, "initial"
-    if last_a == last_b and similarity(first_a, first_b) >= FUZZY_FIRST:
-        return similarity(first_a, first_b), "fuzzy_first"
+    if last_a == last_b and (first := similarity(first_a, first_b)) >= FUZZY_FIRST:
+        return first, "fuzzy_first"
+    score = similarity(whole_a, whole_b)
     if score >= threshold:
         return score, "fuzzy_full"
     return None
@@ -86,14 +89,42 @@ def parted(names: DataFrame) -> DataFrame:
     )
 
 
-def candidates(names: DataFrame) -> DataFrame:
-    """Pairs of names whose last names are equal or of which one contains the other.
+def _marks(c: Column) -> Column:
+    """64 bits of which each character, with the number of its like before it, sets one."""
+    chars = F.split(c, "")
+    places = F.when(F.length(c) > 0, F.sequence(F.lit(1), F.length(c))).otherwise(F.array().cast("array<int>"))
+    bits = F.transform(places, lambda i: F.pmod(F.xxhash64(chars[i - 1], F.size(F.filter(F.slice(chars, 1, i), lambda x: x == chars[i - 1]))), F.lit(64)).cast("int"))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, bit: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), bit)))
+
+
+def _may_match(threshold: float) -> Column:
+    """False only for pairs that don't match: a bit that one of two names sets and the other doesn't is a character without a partner."""
+
+    def near(part: str, least: float) -> Column:
+        apart = F.bit_count(F.col(f"{part}_marks_a").bitwiseXOR(F.col(f"{part}_marks_b")))
+        return apart <= (1 - least / 100) * (F.length(f"{part}_a") + F.length(f"{part}_b")) + 1e-9
+
+    short = [(F.length(f"first_{x}") == 1) & F.col(f"first_{y}").startswith(F.col(f"first_{x}")) for x, y in ("ab", "ba")]
+    known = [F.array_contains(f"shorts_{x}", F.col(f"first_{y}")) for x, y in ("ab", "ba")]
+    fuzzy = (F.col("last_a") == F.col("last_b")) & near("first", FUZZY_FIRST)
+    return (F.col("whole_a") == F.col("whole_b")) | (F.col("formal_a") == F.col("formal_b")) | known[0] | known[1] | short[0] | short[1] | fuzzy | near("whole", threshold)
+
+
+def candidates(names: DataFrame, threshold: float = 80) -> DataFrame:
+    """Pairs of names that may match: whose last names are equal or one contains the other, or of which one has none.
 
     Last names are few against names: containing ones are found by joining each
     last name's substrings to the last names, then names meet by last name. A name
-    without a last name fits any and is compared by equality of the whole only.
+    without a last name fits any; these are few and are sent to all others. Pairs that
+    can't match by their characters are dropped where they meet.
     """
-    known = parted(names)
+    formal = F.create_map(*[F.lit(x) for kv in _FORMAL.items() for x in kv])
+    shorts = F.create_map(*[x for k, v in NICKNAMES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    known = parted(names).select(
+        "*", F.coalesce(F.try_element_at(formal, F.col("first")), F.col("first")).alias("formal"), F.coalesce(F.try_element_at(shorts, F.col("first")), F.array().cast("array<string>")).alias("shorts"),
+        _marks(F.col("whole")).alias("whole_marks"), _marks(F.col("first")).alias("first_marks"),
+    )
+    known = cut_lineage(known.repartition(names.sparkSession.sparkContext.defaultParallelism))
     lasts = known.filter("last <> ''").select("last").distinct()
     size = F.length("last")
     subs = lasts.select("last", F.explode(F.sequence(F.lit(1), size)).alias("s")).select("last", "s", F.explode(F.sequence(F.lit(1), size - F.col("s") + 1)).alias("n"))
@@ -102,9 +133,11 @@ def candidates(names: DataFrame) -> DataFrame:
     meets = meets.union(meets.select(F.col("last_b").alias("last_a"), F.col("last_a").alias("last_b"))).distinct()
     a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
     b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
-    joined = a.join(meets, "last_a").join(b, "last_b").filter("name_a < name_b")
-    same = a.join(b, F.col("whole_a") == F.col("whole_b")).filter("name_a < name_b AND last_a = ''")
-    return joined.unionByName(same)
+    fits = (F.col("name_a") < F.col("name_b")) & _may_match(threshold)
+    joined = a.join(meets, "last_a").join(b, "last_b").filter(fits)
+    first = a.join(F.broadcast(b.filter("last_b = ''")), fits)
+    second = b.filter("last_b <> ''").join(F.broadcast(a.filter("last_a = ''")), fits)
+    return joined.unionByName(first).unionByName(second)
 
 
 def matches(names: DataFrame, threshold: float = 80) -> DataFrame:
@@ -121,7 +154,7 @@ def matches(names: DataFrame, threshold: float = 80) -> DataFrame:
                         rows.append((p, q, m[0], m[1]))
             yield pd.DataFrame(rows, columns=["name_a", "name_b", "score", "kind"]).astype({"score": "float64"})
 
-    return candidates(names).select("name_a", "name_b", "whole_a", "whole_b", "first_a", "first_b", "last_a", "last_b").mapInPandas(
+    return candidates(names, threshold).select("name_a", "name_b", "whole_a", "whole_b", "first_a", "first_b", "last_a", "last_b").mapInPandas(
         run, "name_a string, name_b string, score double, kind string"
     )
 
@@ -134,7 +167,7 @@ def alias_groups(names: DataFrame, threshold: float = 80, min_freq: int = 2) ->
     independent and each is one group of a grouped map; equal frequencies go by name.
     """
     kept = names.filter(F.col("freq") >= min_freq)
-    found = matches(kept, threshold)
+    found = cut_lineage(matches(kept, threshold))
     parts = connected_components(found.select(F.col("name_a").alias("src"), F.col("name_b").alias("dst")))
     edges = found.join(parts, found.name_a == parts.id).join(kept.withColumnRenamed("name", "name_a").withColumnRenamed("freq", "freq_a"), "name_a")
     edges = edges.join(kept.withColumnRenamed("name", "name_b").withColumnRenamed("freq", "freq_b"), "name_b")

@@ -155,6 +155,19 @@ def test_alias_groups(spark):
     assert alias.alias_groups(names.filter("freq < 0")).count() == 0
 
 
+def test_name_matches_leave_no_pair_out(spark):
+    rng = random.Random(9)
+    firsts, lasts = ["BILL", "WILLIAM", "ALEX", "ALEXANDER", "SANDY", "J", "JOHN", "ZO\u00cb", "MARYAM"], ["DOE", "DOES", "O", "POE-DOE", "KOLLSTINUS", "KOLLSTINUZ"]
+    names = {f"{f} {x}" for f in firsts for x in lasts} | {f + x for f in firsts for x in lasts} | {*firsts, *lasts, "BILL Q. DOE", "W. DOE", "bill doe", "--", "A B C"}
+    names |= {"".join(rng.sample(n, len(n))).strip() or n for n in sorted(names)}
+    frame = spark.createDataFrame([(n, 1) for n in sorted(names)], "name string, freq long")
+    parts = {r.name: (r.whole, r.first, r.last) for r in alias.parted(frame).collect()}
+    want = {(a, b, *m) for a in names for b in names if a != b and (m := alias.match(parts[a], parts[b]))}
+    found = [tuple(r) for r in alias.matches(frame).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert any("" in (parts[a][2], parts[b][2]) for a, b, *_ in want)
+
+
 def test_similar_pairs_equal_brute_force(spark):
     rng = random.Random(4)
     rows = []
