@@ -164,7 +164,7 @@ def alias_groups(names: DataFrame, threshold: float = 80, min_freq: int = 2) ->
 
     The most frequent unassigned name of a component takes every unassigned name
     that matches it. Names of different components never match, so components are
-    independent and each is one group of a grouped map; equal frequencies go by name.
+    independent; a task takes all that fall to it at once. Equal frequencies go by name.
     """
     kept = names.filter(F.col("freq") >= min_freq)
     found = cut_lineage(matches(kept, threshold))
@@ -194,9 +194,11 @@ def alias_groups(names: DataFrame, threshold: float = 80, min_freq: int = 2) ->
         )
 
     schema = "canonical string, canonical_freq long, alias string, alias_freq long, score double, match_type string"
-    return edges.select("component", "name_a", "name_b", "freq_a", "freq_b", "score", "kind").groupBy("component").applyInPandas(
-        lambda f: greedy(f.drop(columns=["component"])), schema
-    )
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield greedy(pd.concat([pd.DataFrame(columns=["name_a", "name_b", "freq_a", "freq_b", "score", "kind"]), *frames]))
+
+    parts = 4 * names.sparkSession.sparkContext.defaultParallelism
+    return edges.select("component", "name_a", "name_b", "freq_a", "freq_b", "score", "kind").repartition(parts, "component").drop("component").mapInPandas(run, schema)
 
 
 def group_summary(groups: DataFrame) -> DataFrame:
