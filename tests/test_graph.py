@@ -155,6 +155,20 @@ def test_alias_groups(spark):
     assert alias.alias_groups(names.filter("freq < 0")).count() == 0
 
 
+@pytest.mark.parametrize("cost", ["distance", "none"])
+def test_shares_of_paths_by_levels(cost):
+    rng = random.Random(12)
+    near: list[dict] = [{} for _ in range(90)]
+    for _ in range(170):
+        a, b = rng.sample(range(60), 2) if rng.random() < 0.8 else rng.sample(range(60, 85), 2)  # two parts and single nodes
+        near[a][b] = near[b][a] = float(rng.choice([1, 1, 2, 3, 7, 400]))
+    arrays = graph._ByWeight(near, cost)
+    for s in range(90):
+        want = graph._dependencies(near, s, cost)
+        assert arrays.dependencies(s) == pytest.approx([want.get(v, 0.0) for v in range(90)])
+    assert graph._ByWeight.fits(near, cost) and not graph._ByWeight.fits([{1: 0.5}, {0: 0.5}], "distance")
+
+
 def test_name_matches_leave_no_pair_out(spark):
     rng = random.Random(9)
     firsts, lasts = ["BILL", "WILLIAM", "ALEX", "ALEXANDER", "SANDY", "J", "JOHN", "ZO\u00cb", "MARYAM"], ["DOE", "DOES", "O", "POE-DOE", "KOLLSTINUS", "KOLLSTINUZ"]
